@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -21,17 +22,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moments.llm.util import Scratch, pick, text_or_empty
-from moments.llm.words import Codes
+from moments.llm.words import Codes, slices
 
 MAGIC = b"HUFIDS01"
 BLOCK_IDS = 1_000_000
 STEP = 256
 LIMIT = 18
-MEMORY_PIECES = 1_000_000
+MEMORY_PIECES = 1_300_000
+SLICE_BYTES = 12_000_000
+
+#: A word, and marks after it, at which every token ends.
+_WORD_MARKS = re.compile(r"(\n{0,2}[^\W\d_]+)([^\w\s]+)")
 
 
 # ---- codes ---------------------------------------------------------------------------------------------------
@@ -155,51 +161,69 @@ class PieceEncoder:
     def _learn(self) -> None:
         from itertools import islice
 
-        new = list(islice(self.codes, self.done, None))
-        if not new:
-            return
-        n = len(self.codes)
-        if n > len(self.starts):
-            self.starts, self.sizes, self.bad = (np.concatenate([a, np.zeros(n, a.dtype)]) for a in (self.starts, self.sizes, self.bad))
-        good, whole = [], []
-        for k, p in enumerate(new, self.done):
-            first = p[:2] == "\n\n"
-            q = p[2:] if first else p
-            body = q[1:] if q[:1] == "\n" and not first else q
-            if body and body.split() == [body]:
-                good.append(k)
-                whole.append(q if first or q[:1] == "\n" else " " + q)
-            else:
-                self.bad[k] = True
-        if whole:
-            got = [e.ids for e in self.tok.encode_batch_fast(whole, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
-            while self.fill + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty(len(self.flat), np.uint32)])
-            self.flat[self.fill : self.fill + len(flat)] = flat
-            self.starts[good], self.sizes[good] = self.fill + np.cumsum(sizes) - sizes, sizes
-            self.fill += len(flat)
-        self.done = n
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        while len(self.codes) > self.done:
+            new = list(islice(self.codes, self.done, None))
+            n = len(self.codes)
+            if n > len(self.starts):
+                self.starts, self.sizes, self.bad = (np.concatenate([a, np.zeros(n, a.dtype)]) for a in (self.starts, self.sizes, self.bad))
+            good, whole, joined, heads, tails = [], [], [], [], []
+            for k, p in enumerate(new, self.done):
+                first = p[:2] == "\n\n"
+                q = p[2:] if first else p
+                body = q[1:] if q[:1] == "\n" and not first else q
+                if m := _WORD_MARKS.fullmatch(p):
+                    joined.append(k)
+                    heads.append(self.codes[m[1]])
+                    tails.append(self.codes["\n\n" + m[2]])
+                elif body and body.split() == [body]:
+                    good.append(k)
+                    whole.append(q if first or q[:1] == "\n" else " " + q)
+                elif p != "\n\n":
+                    self.bad[k] = True
+            self.done = n
+            if whole:
+                got = [e.ids for e in self.tok.encode_batch_fast(whole, add_special_tokens=False)]
+                sizes = np.fromiter(map(len, got), np.int64, len(got))
+                self._add(good, np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum())), sizes)
+            if joined:
+                if len(self.codes) > n:
+                    self._learn()
+                pairs = np.array([heads, tails]).T.reshape(-1)
+                self._add(joined, self._gather(pairs), self.sizes[pairs].reshape(-1, 2).sum(1))
+
+    def _add(self, codes: list[int], flat: np.ndarray, sizes: np.ndarray) -> None:
+        while self.fill + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(len(self.flat), np.uint32)])
+        self.flat[self.fill : self.fill + len(flat)] = flat
+        self.starts[codes], self.sizes[codes] = self.fill + np.cumsum(sizes) - sizes, sizes
+        self.fill += len(flat)
+
+    def _gather(self, codes: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[codes]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[codes] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts, one after the other, and how many each has."""
         if len(self.codes) > MEMORY_PIECES:
             self.clear()
-        get, rows = self.codes.__getitem__, []
-        for t in texts:
-            parts = ("\n\n" + t).split(" ") if "\n" not in t else ("\n\n" + t.replace("\n", " \n")).split(" ")
-            rows.append(np.fromiter(map(get, parts), np.int64, len(parts)) if t else np.empty(0, np.int64))
+        lists = pc.split_pattern(pc.binary_join_element_wise("", pc.replace_substring(texts, "\n", " \n"), "\n\n"), " ")
+        pieces = lists.flatten().dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.codes.__getitem__, distinct), np.int64, len(distinct))
         self._learn()
-        out = []
-        for t, c in zip(texts, rows, strict=True):
-            if len(c) and self.bad[c].any():
-                out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32))
-                continue
-            sizes = self.sizes[c]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.repeat(self.starts[c] - ends + sizes, sizes) + np.arange(total)])
-        return out
+        codes = numbers[pieces.indices.to_numpy()]
+        offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        bounds = np.concatenate([[0], np.cumsum(self.sizes[codes])])[offsets]
+        flat, sizes = self._gather(codes), np.diff(bounds)
+        if self.bad[numbers].any():
+            odd = np.flatnonzero(np.maximum.reduceat(self.bad[codes], offsets[:-1]))
+            parts, at = [], 0
+            for d in odd.tolist():
+                parts += [flat[at : bounds[d]], ids := np.array(self.tok.encode(texts[d].as_py(), add_special_tokens=False).ids, np.uint32)]
+                sizes[d], at = len(ids), bounds[d + 1]
+            flat = np.concatenate([*parts, flat[at:]])
+        return flat, sizes
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -216,7 +240,7 @@ def _stage(path: str, end_id: int, wide: bool):
         if path not in _ENCODERS:
             _ENCODERS[path] = PieceEncoder(path)
         encoder, part = _ENCODERS[path], TaskContext.get().partitionId()
-        seq, start, doc_ids, parts, waiting = 0, 0, [], [], 0
+        seq, start, doc_ids, parts, counts, waiting = 0, 0, [], [], [], 0
         hist = np.zeros(1 << 16, np.int64)
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())), ("ids", pa.binary()), ("hist_ids", pa.list_(pa.int32())), ("hist_counts", pa.list_(pa.int64()))])
 
@@ -225,26 +249,30 @@ def _stage(path: str, end_id: int, wide: bool):
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([part, seq, start, ids, sizes, blob, hi, None if h is None else h[hi]], schema, strict=True)], schema=schema)
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq, start, doc_ids, parts, waiting, hist
+            nonlocal seq, start, doc_ids, parts, counts, waiting, hist
             flat = np.concatenate(parts)
             n = np.bincount(flat)
             if len(n) > len(hist):
                 hist = np.concatenate([hist, np.zeros(len(n) - len(hist), np.int64)])
             hist[: len(n)] += n
-            out = row(doc_ids, [len(p) for p in parts], flat.astype(kind).tobytes())
-            seq, start, doc_ids, parts, waiting = seq + 1, start + len(flat), [], [], 0
+            out = row(doc_ids, counts, flat.astype(kind).tobytes())
+            seq, start, doc_ids, parts, counts, waiting = seq + 1, start + len(flat), [], [], [], 0
             return out
 
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k in range(0, len(texts), 256):
-                for doc_id, got in zip(ids[k : k + 256], encoder.encode(texts[k : k + 256]), strict=True):
+            ids, at = batch.column(0).to_pylist(), 0
+            for texts in slices(batch.column(1), SLICE_BYTES):
+                flat, sizes = encoder.encode(texts)
+                ends = np.cumsum(sizes).tolist()
+                for doc_id, a, b in zip(ids[at : at + len(texts)], [0, *ends], ends, strict=False):
                     doc_ids.append(doc_id)
-                    parts.append(np.concatenate([got, end]))
-                    waiting += len(got) + 1
+                    parts += [flat[a:b], end]
+                    counts.append(b - a + 1)
+                    waiting += b - a + 1
                     if waiting >= BLOCK_IDS:
                         yield flush()
+                at += len(texts)
         if doc_ids:
             yield flush()
         yield row(h=hist)

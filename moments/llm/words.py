@@ -3,44 +3,37 @@
 A tokenizer whose normaliser and splitter never look across white space gives for a text the ids of its
 words, one after the other. So every distinct word is encoded once:
 
-1. ``mapInArrow`` over the documents splits each block of texts into words and keeps, per block, the list of
-   its distinct words and, per document, the positions' codes into that list (variable-length bytes). This is
-   written as a table.
-2. The (block, word) pairs are brought together by word, so each distinct word is encoded in one place, and its
-   ids are decoded through the id-to-piece table of the vocabulary.
-3. The encoded words go back to their blocks, and a co-group of block and words puts ids and pieces in the order
-   of the positions.
-
-What is shuffled are distinct words of blocks, not occurrences; a word in every document costs one row a block.
+1. ``mapInArrow`` over the documents splits each block of texts at ASCII white space. The positions' codes into the
+   block's list of distinct words go into a file of the shared folder; the lists themselves, cut by a hash of the word
+   into buckets, are written as a table, which also names the file. Files that it doesn't name don't count.
+2. All lists of a bucket come together, so each distinct word is encoded in one place, once.
+3. The ids go back to their blocks. There a co-group with the file puts the words' ids in the order of the positions, and
+   decodes them through the vocabulary's id-to-piece table.
+
+What is shuffled are the distinct words of blocks and their ids, compressed, never texts or occurrences; a word that is in
+every document costs one entry a block.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-import re
+import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moments.llm.util import Scratch, pick, text_or_empty
 
-BLOCK_CHARS = 24_000_000
-#: Distinct words that one worker remembers while it encodes a partition; beyond it, it starts afresh.
-MEMORY_WORDS = 400_000
-
-_SPACE = re.compile("[\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]+")
-_PYTHON_ONLY = ("\x1c", "\x1d", "\x1e", "\x1f")
-
-
-def split_words(text: str) -> list[str]:
-    """Words between white space as the tokenizers library sees it; str.split() also splits at \\x1c-\\x1f."""
-    if any(c in text for c in _PYTHON_ONLY):
-        return [w for w in _SPACE.split(text) if w]
-    return text.split()
+BLOCK_BYTES = 64_000_000
+#: Distinct words that one worker remembers while it encodes a bucket; beyond it, it starts afresh.
+MEMORY_WORDS = 250_000
 
 
 class Codes(dict):
@@ -51,6 +44,16 @@ class Codes(dict):
         return n
 
 
+def slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Runs of about ``most`` bytes of text, of a row at least."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
 def pack(numbers: np.ndarray) -> bytes:
     """Variable-length bytes, seven bits each, least significant first."""
     if not len(numbers):
@@ -80,125 +83,192 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.add.reduceat((b & 127).astype(np.int64) << (7 * place), starts)
 
 
-SPLIT_SCHEMA = "block long, words array<string>, doc_ids array<long>, n_words array<int>, codes binary"
-
-
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    part, made = TaskContext.get().partitionId(), 0
-    codes, ids, counts, parts, chars = Codes(), [], [], [], 0
-
-    def flush() -> pa.RecordBatch:
-        nonlocal made, codes, ids, counts, parts, chars
-        flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
-        often = np.argsort(-np.bincount(flat, minlength=len(codes)), kind="stable")
-        rank = np.empty(len(often), np.int64)
-        rank[often] = np.arange(len(often))
-        words = list(codes)
-        row = pa.RecordBatch.from_arrays(
-            [
-                pa.array([part << 24 | made], pa.int64()),
-                pa.array([[words[i] for i in often.tolist()]], pa.list_(pa.string())),
-                pa.array([ids], pa.list_(pa.int64())),
-                pa.array([counts], pa.list_(pa.int32())),
-                pa.array([pack(rank[flat])], pa.binary()),
-            ],
-            ["block", "words", "doc_ids", "n_words", "codes"],
-        )
-        made += 1
-        codes, ids, counts, parts, chars = Codes(), [], [], [], 0
-        return row
-
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = text.as_py()
-            words = split_words(text)
-            parts.append(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)))
-            ids.append(doc_id)
-            counts.append(len(words))
-            chars += len(text) + 64
-            if chars >= BLOCK_CHARS:
-                yield flush()
-    if ids:
-        yield flush()
-
-
-ENCODED_SCHEMA = "block long, code long, n int, ids string, pieces string"
+SPLIT_SCHEMA = "block long, bucket int, n long, words binary, file string"
+
+
+def _squeeze(blob: bytes) -> bytes:
+    return pa.compress(blob, "zstd", asbytes=True)
+
+
+def _unsqueeze(blob: bytes) -> bytes:
+    """The size goes in front, as the codec asks for it."""
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+
+
+def _sized(blob: bytes) -> bytes:
+    return len(blob).to_bytes(8, "little") + _squeeze(blob)
+
+
+def _splitter(base: str, buckets: int):
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, root = fs.FileSystem.from_uri(base)
+        system.create_dir(root, recursive=True)
+        part, made = TaskContext.get().partitionId(), 0
+        ids, counts, parts, size = [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal made, ids, counts, parts, size
+            coded = pa.concat_arrays(parts).dictionary_encode()
+            flat, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False)
+            often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+            rank = np.empty(len(often), np.int64)
+            rank[often] = np.arange(len(often))
+            words = words[often]
+            bucket = (hash_array(words) % np.uint64(buckets)).astype(np.int64) if len(words) else np.empty(0, np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            file = f"{part:06d}-{made:04d}-{uuid.uuid4().hex[:8]}.codes"
+            with system.open_output_stream(f"{root}/{file}") as out:
+                known = np.array([d is not None for d in ids], np.uint8).tobytes()
+                blobs = [_sized(x) for x in (np.array([d or 0 for d in ids], "<i8").tobytes() + known, pack(np.concatenate(counts)), pack(order), pack(rank[flat]))]
+                out.write(struct.pack("<QQ4Q", len(ids), buckets, *map(len, blobs)) + b"".join(blobs))
+            used = np.flatnonzero(np.diff(edges)).tolist() or [0]
+            lists = [words[order[edges[k] : edges[k + 1]]].tolist() for k in used]
+            n = len(used)
+            row = pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part << 24 | made] * n, pa.int64()),
+                    pa.array(used, pa.int32()),
+                    pa.array([len(x) for x in lists], pa.int64()),
+                    pa.array([_sized("\n".join(x).encode()) for x in lists], pa.binary()),
+                    pa.array([f"{base}/{file}"] * n, pa.string()),
+                ],
+                ["block", "bucket", "n", "words", "file"],
+            )
+            made += 1
+            ids, counts, parts, size = [], [], [], 0
+            return row
+
+        for batch in batches:
+            keys, at = batch.column(0).to_pylist(), 0
+            for texts in slices(batch.column(1), BLOCK_BYTES // 4):
+                lists = pc.ascii_split_whitespace(texts)
+                parts.append(lists.flatten())
+                ids += keys[at : at + len(texts)]
+                counts.append(pc.list_value_length(lists).to_numpy())
+                at, size = at + len(texts), size + texts.nbytes
+                if size >= BLOCK_BYTES:
+                    yield flush()
+        if ids:
+            yield flush()
+
+    return split
+
+
+ENCODED_SCHEMA = "block long, bucket int, file string, ids binary, sizes binary"
+
+
+def load_tokenizer(path: str):
+    """The tokenizer of a file with truncation and padding off, on one thread, and its id-to-piece table."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    table = {i: p for p, i in tok.get_vocab(with_added_tokens=True).items()}
+    return tok, [table.get(i, "") for i in range(max(table) + 1)]
 
 
 def _encoder(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        table = {i: p for p, i in tok.get_vocab(with_added_tokens=True).items()}
-        known: dict[str, tuple[int, str, str]] = {}
+        tok, _ = load_tokenizer(path)
+        known: dict[str, list[int]] = {}
         for batch in batches:
-            words = batch.column(1).to_pylist()
-            if len(known) > MEMORY_WORDS:
-                known = {}
-            new = list(set(words).difference(known))
-            for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
-                x = e.ids
-                known[w] = (len(x), " ".join(map(str, x)), " ".join([table[i] for i in x]))
-            n, ids, pieces = zip(*[known[w] for w in words], strict=True) if words else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(n, pa.int32()), pa.array(ids, pa.string()), pa.array(pieces, pa.string())],
-                ["block", "code", "n", "ids", "pieces"],
-            )
+            for block, bucket, blob, file in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                words = _unsqueeze(blob).decode().split("\n")
+                if len(known) > MEMORY_WORDS:
+                    known = {}
+                new = list(set(words).difference(known))
+                known.update(zip(new, [e.ids for e in tok.encode_batch_fast(new, add_special_tokens=False)], strict=True))
+                got = [known[w] for w in words]
+                sizes = np.fromiter(map(len, got), np.int64, len(got))
+                flat = np.fromiter((i for x in got for i in x), np.int64, int(sizes.sum()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block]), pa.array([bucket], pa.int32()), pa.array([file]), pa.array([_sized(flat.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())]), pa.array([_sized(pack(sizes))])],
+                    ["block", "bucket", "file", "ids", "sizes"],
+                )
 
     return encode
 
 
-RESULT_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-
-
-def _assembler(full: bool):
-    def assemble(key, blocks: pa.Table, words: pa.Table) -> pa.Table:
-        order = np.argsort(words.column("code").to_numpy(), kind="stable")
-        words = words.take(pa.array(order))
-        n = words.column("n").to_numpy().astype(np.int64)
-        ids, pieces = words.column("ids").to_pylist(), words.column("pieces").to_pylist()
-        blank = bool((n == 0).any())
-        out: list[list] = [[], [], [], []]
-        for row in range(blocks.num_rows):
-            codes = unpack(blocks.column("codes")[row].as_py())
-            at = 0
-            for doc_id, size in zip(blocks.column("doc_ids")[row].as_py(), blocks.column("n_words")[row].as_py(), strict=True):
-                mine = codes[at : at + size]
-                at += size
-                if blank:
-                    mine = mine[n[mine] > 0]
-                total, mine = int(n[mine].sum()), mine.tolist()
-                a, b = " ".join([ids[i] for i in mine]), " ".join([pieces[i] for i in mine])
-                row_out = (doc_id, total, a, b) if full else (doc_id, total, hashlib.sha256(a.encode()).hexdigest(), hashlib.sha256(b.encode()).hexdigest())
-                for column, value in zip(out, row_out, strict=True):
-                    column.append(value)
-        names = ["doc_id", "n_tokens", "ids", "decoded"] if full else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names)
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of all spans, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _assembler(path: str, digests: bool):
+    def assemble(table: pa.Table) -> pa.Table:
+        from pyarrow import fs
+
+        _, vocabulary = load_tokenizer(path)
+        rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
+        system, name = fs.FileSystem.from_uri(rows[0]["file"])
+        with system.open_input_file(name) as source:
+            raw = source.read()
+        n_docs, _, *ends = struct.unpack_from("<QQ4Q", raw)
+        at, blobs = 48, []
+        for n in ends:
+            blobs.append(_unsqueeze(raw[at : at + n]))
+            at += n
+        doc_ids = pa.array(np.frombuffer(blobs[0], "<i8", n_docs), mask=np.frombuffer(blobs[0], np.uint8, n_docs, 8 * n_docs) == 0)
+        n_words, order, codes = (unpack(b) for b in blobs[1:])
+        sizes = np.empty(len(order), np.int64)
+        sizes[order] = np.concatenate([unpack(_unsqueeze(r["sizes"])) for r in rows])
+        flat = np.concatenate([np.frombuffer(b := _unsqueeze(r["ids"]), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1) for r in rows])
+        starts = np.empty(len(order), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        # Words as strings of ids and of pieces, in the order of their codes; words without ids drop out.
+        mine = flat[_spans(starts, sizes)]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        texts = [pc.binary_join(pa.ListArray.from_arrays(offsets, v), " ") for v in (pc.cast(pa.array(mine), pa.string()), pa.array(vocabulary).take(pa.array(mine)))]
+        ends = np.cumsum(n_words)
+        totals = np.concatenate([[0], np.cumsum(sizes[codes])])
+        n_tokens = totals[ends] - totals[ends - n_words]
+        if (sizes == 0).any():
+            kept = sizes[codes] > 0
+            ends = np.concatenate([[0], np.cumsum(kept)])[ends]
+            codes = codes[kept]
+        out: list[list] = [[], []]
+        bounds, d = [0, *ends.tolist()], 0
+        while d < n_docs:  # some documents at a time, so that no joined column outgrows 32-bit offsets
+            e = max(d + 1, int(np.searchsorted(ends, bounds[d] + 4_000_000, "right")))
+            part = pa.array(codes[bounds[d] : bounds[e]])
+            lists = pa.array(np.array(bounds[d : e + 1], np.int64) - bounds[d], pa.int32())
+            for column, words in zip(out, texts, strict=True):
+                joined = pc.binary_join(pa.ListArray.from_arrays(lists, words.take(part)), " ")
+                if digests:
+                    data, edges = memoryview(joined.buffers()[2] or b""), np.frombuffer(joined.buffers()[1], np.int32, e - d + 1, 4 * joined.offset).tolist()
+                    column += [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(edges, edges[1:], strict=False)]
+                else:
+                    column += joined.to_pylist()
+            d = e
+        names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
+        return pa.table([doc_ids, pa.array(n_tokens, pa.int64()), pa.array(out[0], pa.string()), pa.array(out[1], pa.string())], names)
 
     return assemble
 
 
-def bpe_roundtrip(spark: SparkSession, docs: DataFrame, tokenizer_path: str, digests: bool = True) -> DataFrame:
+def bpe_roundtrip(spark: SparkSession, docs: DataFrame, tokenizer_path: str, digests: bool = True, buckets: int | None = None) -> DataFrame:
     """Encodes and decodes every whole text.
 
     Reads ``doc_id, text``; other columns are ignored, whatever their names. One row comes back per input row, repeated
     ids included: ``doc_id, n_tokens`` and, with ``digests``, ``ids_sha256, decoded_sha256``, else ``ids`` (decimal,
     separated by a space) and ``decoded``. A null or empty text has no tokens; a null id stays null; an empty table
-    gives an empty result. A text larger than a block is a block of its own.
+    gives an empty result. A text larger than a block is a block of its own. ``buckets`` of words: as many as shuffle
+    partitions, unless given; it should grow with the vocabulary.
     """
     scratch = Scratch(spark, "words")
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = pick(docs, F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    split = scratch.write(texts.mapInArrow(_split, SPLIT_SCHEMA), "split")
-    pairs = split.select("block", F.posexplode("words").alias("code", "word")).select("block", "word", F.col("code").cast("long").alias("code"))
-    encoded = pairs.repartition("word").mapInArrow(_encoder(tokenizer_path), ENCODED_SCHEMA)
-    schema = RESULT_SCHEMA if digests else "doc_id long, n_tokens long, ids string, decoded string"
-    return split.select("block", "doc_ids", "n_words", "codes").groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_assembler(not digests), schema)
+    split = scratch.write(texts.mapInArrow(_splitter(scratch.path("codes"), buckets), SPLIT_SCHEMA), "split")
+    encoded = split.select("block", "bucket", "words", "file").repartition("bucket").mapInArrow(_encoder(tokenizer_path), ENCODED_SCHEMA)
+    schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids string, decoded string")
+    return encoded.groupBy("block").applyInArrow(_assembler(tokenizer_path, digests), schema)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -40,7 +41,9 @@ def test_pack(numbers):
 @given(st.text(alphabet=st.sampled_from(list("aB's 1.\n\t\xa0é<|endoftx>")), max_size=40))
 def test_pieces_equal_library(text):
     enc = test_pieces_equal_library.__dict__.setdefault("enc", huffman.PieceEncoder(BYTE))
-    assert enc.encode([text])[0].tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+    flat, sizes = enc.encode(pa.array([text, "ab cd", text]))
+    want = [enc.tok.encode(t, add_special_tokens=False).ids for t in (text, "ab cd", text)]
+    assert flat.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
 
 
 def test_token_files_equal_library(spark):
