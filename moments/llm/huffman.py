@@ -19,6 +19,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,10 @@ BLOCK_IDS = 1_000_000
 STEP = 256
 LIMIT = 18
 MEMORY_PIECES = 1_300_000
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 20_000_000
 
 #: A word, and marks after it, at which every token ends.
+_MARKS_SPACE = "([a-z])([.,!?;:]+) "
 _WORD_MARKS = re.compile(r"(\n{0,2}[^\W\d_]+)([^\w\s]+)")
 
 
@@ -150,6 +152,7 @@ class PieceEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.line_break = self.tok.encode("\n", add_special_tokens=False).ids[0]
         self.clear()
 
     def clear(self) -> None:
@@ -159,15 +162,16 @@ class PieceEncoder:
         self.fill = 0
 
     def _learn(self) -> None:
-        from itertools import islice
-
         while len(self.codes) > self.done:
             new = list(islice(self.codes, self.done, None))
             n = len(self.codes)
             if n > len(self.starts):
                 self.starts, self.sizes, self.bad = (np.concatenate([a, np.zeros(n, a.dtype)]) for a in (self.starts, self.sizes, self.bad))
-            good, whole, joined, heads, tails = [], [], [], [], []
+            plain, good, whole, joined, heads, tails = [], [], [], [], [], []
             for k, p in enumerate(new, self.done):
+                if p.isalpha():
+                    plain.append(k)
+                    continue
                 first = p[:2] == "\n\n"
                 q = p[2:] if first else p
                 body = q[1:] if q[:1] == "\n" and not first else q
@@ -180,11 +184,17 @@ class PieceEncoder:
                     whole.append(q if first or q[:1] == "\n" else " " + q)
                 elif p != "\n\n":
                     self.bad[k] = True
+            if plain:  # many in one text, each on its own line: a line break before a space is always a token of its own
+                words = new if len(plain) == len(new) else [new[k - self.done] for k in plain]
+                lines = [" " + "\n ".join(words[k : k + 1000]) + "\n" for k in range(0, len(words), 1000)]
+                flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(lines, add_special_tokens=False)])
+                breaks = np.flatnonzero(flat == self.line_break)
+                self._add(plain, np.delete(flat, breaks), np.diff(breaks, prepend=-1) - 1)
             self.done = n
             if whole:
                 got = [e.ids for e in self.tok.encode_batch_fast(whole, add_special_tokens=False)]
                 sizes = np.fromiter(map(len, got), np.int64, len(got))
-                self._add(good, np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum())), sizes)
+                self._add(good, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes)
             if joined:
                 if len(self.codes) > n:
                     self._learn()
@@ -201,13 +211,16 @@ class PieceEncoder:
     def _gather(self, codes: np.ndarray) -> np.ndarray:
         sizes = self.sizes[codes]
         ends = np.cumsum(sizes)
-        return self.flat[np.repeat(self.starts[codes] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        at = np.repeat((self.starts[codes] - ends + sizes).astype(np.int32), sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.flat[at]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, one after the other, and how many each has."""
         if len(self.codes) > MEMORY_PIECES:
             self.clear()
-        lists = pc.split_pattern(pc.binary_join_element_wise("", pc.replace_substring(texts, "\n", " \n"), "\n\n"), " ")
+        cut = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " \n"), _MARKS_SPACE, "\\1 \n\n\\2 ")
+        lists = pc.split_pattern(pc.binary_join_element_wise("", cut, "\n\n"), " ")
         pieces = lists.flatten().dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
         numbers = np.fromiter(map(self.codes.__getitem__, distinct), np.int64, len(distinct))
@@ -414,7 +427,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str,
 def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """Each document of the files: ``doc_id, start, n_tokens, ids_crc32`` and, if asked for, ``ids``."""
     blocks = manifest.select("file", F.explode(F.arrays_zip("offsets", "sizes")).alias("b")).select("file", F.col("b.offsets").alias("offset"), F.col("b.sizes").alias("size"))
-    return blocks.repartition("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(_reader(with_ids), READ + (", ids array<long>" if with_ids else ""))
+    return blocks.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(_reader(with_ids), READ + (", ids array<long>" if with_ids else ""))
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -186,7 +187,7 @@ def _encoder(path: str):
                 known.update(zip(new, [e.ids for e in tok.encode_batch_fast(new, add_special_tokens=False)], strict=True))
                 got = [known[w] for w in words]
                 sizes = np.fromiter(map(len, got), np.int64, len(got))
-                flat = np.fromiter((i for x in got for i in x), np.int64, int(sizes.sum()))
+                flat = np.fromiter(chain.from_iterable(got), np.int64, int(sizes.sum()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block]), pa.array([bucket], pa.int32()), pa.array([file]), pa.array([_sized(flat.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())]), pa.array([_sized(pack(sizes))])],
                     ["block", "bucket", "file", "ids", "sizes"],
