@@ -1,10 +1,15 @@
 """The queries of the subpackage and their SQL, where SQL can express them."""
 
-from moments.llm import huffman, words
+from moments.llm import decontam, huffman, secrets, words
 
 QUERIES = {
     "op1_token_files": huffman.op1_token_files,
+    "op6_decontaminate": decontam.op6_decontaminate,
     "op7_bpe": words.op7_bpe,
+    "op9_secrets": secrets.op9_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_decontaminate": decontam.OP6_SQL,
+    "op9_secrets": secrets.OP9_SQL,
+}
