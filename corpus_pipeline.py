@@ -1,8 +1,77 @@
-"""The corpus pipeline; its stages are filled in as the operators come."""
+"""The corpus pipeline: quality, near duplicates, benchmark leaks, secrets, tokens.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the docs of the
+next one. All but the last return the columns of ``documents``.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from moments.llm import decontam, neardup, quality, secrets, words
+from moments.llm.util import Scratch
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects as poor or toxic go."""
+    return quality.good_documents(spark, docs, quality.fit(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def _by_key(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of docs with, or without, their id and text in keys (_k, _h)."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    keyed = docs.withColumns({"_k": key, "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return keyed.join(keys, ["_k", "_h"], how).select(*docs.columns)
+
+
+def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that share 0.8 of their five-word shingles, directly or through others, the one of the least id stays."""
+    scratch = Scratch(spark, "neardup-stage")
+    found = scratch.write(neardup.near_duplicates(spark, docs, 5, 80), "found")
+    kept = found.where("kept").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_k"))
+    out = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).join(kept.distinct(), "_k", "left_semi").select(*docs.columns)
+    # Rows of the same id are one document of the group; they cost a shuffle only where there are any.
+    return out if kept.groupBy("_k").count().where("count > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark windows cover a twentieth or more go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    scratch = Scratch(spark, "decontamination-stage")
+    matches, _ = decontam.find_tests(spark, docs, items)
+    hit = matches.select("dk", "dh", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("p")).distinct().groupBy("dk", "dh").agg(F.count(F.lit(1)).alias("n_hit"))
+    touched = _by_key(docs, hit.select(F.col("dk").alias("_k"), F.col("dh").alias("_h")), "left_semi")
+    n_words = decontam.keyed(touched).select("dk", "dh", F.size(decontam.words_of(F.col("text"))).alias("n_words")).distinct()
+    bad = scratch.write(hit.join(n_words, ["dk", "dh"]).where("20 * n_hit >= n_words").select(F.col("dk").alias("_k"), F.col("dh").alias("_h")), "bad")
+    return _by_key(docs, bad, "left_anti")
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are cut out of the texts; all documents stay."""
+    return secrets.redacted(spark, docs)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the ids in decimal, of every text."""
+    import public_tokenizers
+
+    return words.bpe_roundtrip(spark, docs, public_tokenizers.path("word_bpe_49k.json"), digests=False).select("doc_id", "n_tokens", "ids")
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("near duplicates", neardup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secrets_stage),
+    ("BPE encoding", bpe_stage),
+]
+
+#: A trained classifier and a tokenizer have no SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = scratch.write(stage(spark, docs, sf_dir), str(k))
+    return docs

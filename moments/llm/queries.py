@@ -1,12 +1,14 @@
 """The queries of the subpackage and their SQL, where SQL can express them."""
 
-from moments.llm import decontam, huffman, secrets, words
+from moments.llm import decontam, huffman, neardup, quality, secrets, words
 
 QUERIES = {
     "op1_token_files": huffman.op1_token_files,
     "op6_decontaminate": decontam.op6_decontaminate,
     "op7_bpe": words.op7_bpe,
+    "op8_neardup": neardup.op8_neardup,
     "op9_secrets": secrets.op9_secrets,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES: dict[str, str] = {
