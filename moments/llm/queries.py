@@ -1,9 +1,11 @@
 """The queries of the subpackage and their SQL, where SQL can express them."""
 
-from moments.llm import decontam, huffman, neardup, quality, secrets, words
+from moments.llm import decontam, huffman, neardup, quality, resharding, secrets, warc, words
 
 QUERIES = {
     "op1_token_files": huffman.op1_token_files,
+    "op3_reshard": resharding.op3_reshard,
+    "op5_warc": warc.op5_warc,
     "op6_decontaminate": decontam.op6_decontaminate,
     "op7_bpe": words.op7_bpe,
     "op8_neardup": neardup.op8_neardup,
@@ -12,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_warc": warc.OP5_SQL,
     "op6_decontaminate": decontam.OP6_SQL,
     "op9_secrets": secrets.OP9_SQL,
 }
