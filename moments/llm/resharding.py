@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from moments.llm.util import Scratch, text_or_empty
 
 SHARDS = 24
-BLOCK_BYTES = 1 << 30
+BLOCK_BYTES = 64 << 20
+#: Blocks grow beyond that rather than be more than about so many, as the driver holds a row for each.
+MOST_BLOCKS = 50_000
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -75,7 +77,8 @@ def write_layout(spark: SparkSession, docs: DataFrame, old_shard, scratch: Scrat
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), old_shard.cast("int").alias("old"), (F.octet_length(text_or_empty()) + 8).cast("long").alias("size"))
     per = {r.old: r for r in rows.groupBy("old").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()}
     mean = sum(r.b for r in per.values()) / max(1, sum(r.n for r in per.values()))
-    pieces = F.create_map(*[F.lit(x) for k in range(shards) for x in (k, 1 + (per[k].b if k in per else 0) // BLOCK_BYTES)])
+    block = max(BLOCK_BYTES, sum(r.b for r in per.values()) // MOST_BLOCKS)
+    pieces = F.create_map(*[F.lit(x) for k in range(shards) for x in (k, 1 + (per[k].b if k in per else 0) // block)])
     rows = rows.withColumn("cls", (F.col("size") * 2 < mean).cast("int")).withColumn("piece", F.pmod(F.xxhash64("doc_id"), pieces[F.col("old")]).cast("int"))
     # a block holds about BLOCK_BYTES, so its running sum fits one task
     w = Window.partitionBy("old", "cls", "piece").orderBy("doc_id", "size", F.xxhash64("text"))
