@@ -1,11 +1,12 @@
 """The queries of the subpackage and their SQL, where SQL can express them."""
 
-from moments.llm import decontam, huffman, neardup, quality, resharding, secrets, suffixes, warc, words
+from moments.llm import decontam, descriptors, huffman, neardup, quality, resharding, secrets, suffixes, warc, words
 
 QUERIES = {
     "op1_token_files": huffman.op1_token_files,
     "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_reshard": resharding.op3_reshard,
+    "op4_image_copies": descriptors.op4_image_copies,
     "op5_warc": warc.op5_warc,
     "op6_decontaminate": decontam.op6_decontaminate,
     "op7_bpe": words.op7_bpe,
