@@ -1,0 +1,42 @@
+from moments.functions import scalars as S
+from moments.operators import greedy, ranges
+from moments.sources import text
+
+
+def test_impacts(spark):
+    rows = [(1, 0.06, 0.30, 0.12, 0.008, 0.008, "normal", True), (2, 0.04, 0.08, 0.05, 0.02, 0.02, "normal", False)]
+    df = spark.createDataFrame(rows, "id int, rms double, peak double, crossing double, baseline double, recent double, sensitivity string, want boolean")
+    assert all(r.is_triggered == r.want for r in S.detect_impact(df, S.thresholds(spark)).collect())
+
+
+def test_leader_keeps_the_better_of_near_ones(spark):
+    photos = spark.createDataFrame([("a", 0, 0.40), ("a", 1, 0.75), ("a", 2, 0.55), ("b", 0, 0.1)], "set_id string, idx int, quality double")
+    pairs = spark.createDataFrame([("a", 0, 1, 0.04), ("a", 0, 2, 0.44), ("a", 1, 2, 0.42)], "set_id string, i int, j int, d double")
+    got = greedy.leader_clusters(photos, pairs, "set_id", 0.12)
+    assert sorted((r.set_id, r.idx) for r in got.collect()) == [("a", 1), ("a", 2), ("b", 0)]
+    assert greedy.leader_clusters(photos, pairs, "set_id", -1.0).count() == 4
+
+
+def test_nms_spacing(spark):
+    rows = [("s", i * 0.37 % 20, (i * 7919 % 101) / 10.0, i) for i in range(200)]
+    kept = greedy.temporal_nms(spark.createDataFrame(rows, "src string, t double, score double, id int"), "src", 1.0).collect()
+    times = sorted(r.t for r in kept)
+    assert all(b - a >= 1.0 for a, b in zip(times, times[1:], strict=False))
+    assert all(min(abs(t - k) for k in times) < 1.0 for _, t, _, _ in rows)
+
+
+def test_nearest_ties_go_to_the_later(spark):
+    left = spark.createDataFrame([("a", 5.0), ("a", 0.0), ("b", 1.0)], "k string, t double")
+    right = spark.createDataFrame([("a", 4.0), ("a", 6.0)], "k string, u double")
+    assert {(r.k, r.t): r.near_u for r in ranges.nearest(left, right, "k").collect()} == {("a", 5.0): 6.0, ("a", 0.0): 4.0, ("b", 1.0): None}
+
+
+def test_strict_protocol(spark):
+    import pytest
+
+    good = [(0, "PHOTO\t3\t0.1\tx"), (1, "D\t0\t1\t0.5"), (2, "B\t4.0")]
+    lines = [(o, x) for o, x in good if o]
+    ok = spark.createDataFrame([(0, "PHOTO\t3\t0.1"), *lines], "ord int, line string")
+    assert [r.tag for r in text.strict_protocol(ok).orderBy("ord").collect()] == ["PHOTO", "D", "B"]
+    with pytest.raises(Exception, match="bad line 1"):
+        text.strict_protocol(spark.createDataFrame([(0, "PHOTO\t3\t0.1"), (1, "D\t0")], "ord int, line string")).collect()
