@@ -329,9 +329,9 @@ def recommended(spark, d):
     return x.groupBy("set_id").agg(near.alias("k")).select("set_id", F.greatest(F.lit(1), F.expr("k div 2")).cast("long").alias("n"))
 
 
-@query("u04_exclude_all_duplicates", "select user_id, ts::date::varchar as "day" from events group by user_id, ts::date having count(*) = 1")
+@query("u04_exclude_all_duplicates", "select user_id, ts::date::varchar dy from events group by user_id, ts::date having count(*) = 1")
 def unique_only(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").groupBy("user_id", c("ts").cast("date").cast("string").alias("day")).count().where("count = 1").select("user_id", "day")
+    return spark.read.parquet(f"{d}/events.parquet").groupBy("user_id", c("ts").cast("date").cast("string").alias("dy")).count().where("count = 1").select("user_id", "dy")
 
 
 _FUSED = """(select *, row_number() over (partition by g order by f desc, re, id) position from (select *, case when bool_and(semantic is not null) over (partition by g) then 0.6 / (60 + re) + 0.4 / (60 + rs) else 1.0 / (60 + re) end f from (
