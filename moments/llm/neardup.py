@@ -24,7 +24,7 @@ from pandas.util import hash_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moments.llm.util import Scratch, pick, text_or_empty
+from moments.llm.util import Scratch, pick, text_or_empty, trimmed
 from moments.llm.words import slices
 
 M = 128
@@ -165,7 +165,7 @@ def _estimator(least: float):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in ("sa", "sb"))
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            go = np.concatenate([estimate(a[k : k + 4096], b[k : k + 4096], na[k : k + 4096], nb[k : k + 4096]) for k in range(0, len(a), 4096)]) >= least if len(a) else np.empty(0, bool)
+            go = np.concatenate([estimate(a[k : k + 1024], b[k : k + 1024], na[k : k + 1024], nb[k : k + 1024]) for k in range(0, len(a), 1024)]) >= least if len(a) else np.empty(0, bool)
             yield batch.select(["a", "b"]).filter(pa.array(go))
 
     return run
@@ -254,13 +254,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, perc
     shingle together; a null text, or one without words, is empty and stands alone. A null id counts as larger than
     any; an empty table gives no rows.
     """
-    scratch = Scratch(spark, "neardup")
+    scratch = Scratch(spark, "neardup", batch_rows=1000)
     least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / M) ** 0.5
     texts = pick(docs, F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("dh", F.xxhash64("text"))
-    rows = scratch.write(texts.mapInArrow(_sketcher(shingle), SKETCH), "sketches")
+    rows = scratch.write(texts.mapInArrow(trimmed(_sketcher(shingle)), SKETCH), "sketches")
     nodes = scratch.write(rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "dh")).alias("of")), "nodes")
 
-    banded = nodes.select("node", "sketch").mapInArrow(_bands(band_width(percent / 100)), f"bucket long, node {NODE}")
+    banded = nodes.select("node", "sketch").mapInArrow(trimmed(_bands(band_width(percent / 100))), f"bucket long, node {NODE}")
     banded = scratch.write(banded, "banded")
     heads = banded.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = scratch.write(banded.join(heads, "bucket"), "shared")
@@ -273,15 +273,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, perc
         sets_made += 1
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "of"), "node").select("node", F.col("of.doc_id").alias("doc_id"), F.col("of.dh").alias("dh"))
         mine = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.doc_id) & (texts.dh == wanted.dh)).select("node", "text").dropDuplicates(["node"])
-        sets = scratch.write(mine.mapInArrow(_set_maker(shingle), f"node {NODE}, elements binary"), f"sets-{sets_made}")
+        sets = scratch.write(mine.mapInArrow(trimmed(_set_maker(shingle)), f"node {NODE}, elements binary"), f"sets-{sets_made}")
         full = pairs.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b").join(sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a")
-        out = scratch.write(full.select("a", "b", "ea", "eb").mapInArrow(_confirmer(percent), f"a {NODE}, b {NODE}"), name)
+        out = scratch.write(full.select("a", "b", "ea", "eb").mapInArrow(trimmed(_confirmer(percent)), f"a {NODE}, b {NODE}"), name)
         scratch.drop(f"sets-{sets_made}")
         return out
 
     stars = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     with_sketches = stars.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b").join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-    likely = scratch.write(with_sketches.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_estimator(least), f"a {NODE}, b {NODE}"), "likely")
+    likely = scratch.write(with_sketches.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(trimmed(_estimator(least)), f"a {NODE}, b {NODE}"), "likely")
     edges = confirmed(likely, "edges-1")
     comps = scratch.write(components(scratch, edges, "cc1"), "comps-1")
 

@@ -21,6 +21,7 @@ from pandas.util import hash_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moments.llm.util import trimmed
 from moments.llm.words import slices
 
 LABELLED, UNLABELLED = 8000, 4000
@@ -176,7 +177,7 @@ FEATURES = "doc_id long, words array<long>, meta array<double>"
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = 0
-        for texts in slices(batch.column("text"), 4_000_000):
+        for texts in slices(batch.column("text"), 2_000_000):
             part = batch.slice(at, len(texts))
             doc, words, meta = views(texts, part.column("source"), part.column("lang"))
             offsets = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
@@ -197,7 +198,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> dict[str, Ta
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = ids.where(known).orderBy(*order).limit(LABELLED).unionByName(ids.where(~known).orderBy(*order).limit(UNLABELLED))
     # at most LABELLED + UNLABELLED rows of three numbers
-    sample = _inputs(docs).join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_featurise, FEATURES).join(F.broadcast(picked), "doc_id").toArrow().sort_by("doc_id")
+    sample = _inputs(docs).join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(trimmed(_featurise), FEATURES).join(F.broadcast(picked), "doc_id").toArrow().sort_by("doc_id")
     n = sample.num_rows
     lists = sample.column("words").combine_chunks()
     words = lists.flatten().to_numpy().view(np.uint64) if n else np.empty(0, np.uint64)
@@ -216,7 +217,7 @@ def _scorer(targets: dict[str, Target], keep_rows: bool, threshold: float):
             at = 0
             fill = lambda c: pc.fill_null(c.cast(pa.string()), "")
             column = lambda c, b=batch: b.column(c) if c in b.schema.names else pa.nulls(b.num_rows, pa.string())
-            for texts in slices(fill(batch.column("text")), 4_000_000):
+            for texts in slices(fill(batch.column("text")), 2_000_000):
                 doc, words, meta = views(texts, column("source").slice(at, len(texts)), column("lang").slice(at, len(texts)))
                 good = targets["quality"].score(len(texts), doc, words, meta)
                 toxic = targets["toxic"].score(len(texts), doc, words, meta)
@@ -238,12 +239,12 @@ def score(spark: SparkSession, docs: DataFrame, targets: dict[str, Target], thre
     as empty; repeated rows are scored alike; without labels of both kinds a target has its share as the score of all,
     without any labels 0.5, and all documents are kept; an empty table gives no rows.
     """
-    return _inputs(docs).mapInArrow(_scorer(targets, False, threshold), "doc_id long, p_quality double, p_toxic double, score double, kept boolean")
+    return _inputs(docs).mapInArrow(trimmed(_scorer(targets, False, threshold)), "doc_id long, p_quality double, p_toxic double, score double, kept boolean")
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, targets: dict[str, Target], threshold: float = 0.5) -> DataFrame:
     """The rows that are kept, with all their columns."""
-    return docs.mapInArrow(_scorer(targets, True, threshold), docs.schema)
+    return docs.mapInArrow(trimmed(_scorer(targets, True, threshold)), docs.schema)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,18 +49,55 @@ def shuffle_files_freed(spark: SparkSession):
             spark.conf.set(_CLEANUP, before)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int | None):
+    """Inside, Python workers get at most so many rows at a time, which bounds their memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def trimmed(run):
+    """The same function over batches, which gives unused memory back at the end of each task; workers live on between tasks."""
+
+    def then_trim(batches):
+        yield from run(batches)
+        trim()
+
+    return then_trim
+
+
+def trim() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Scratch:
     """A folder of staged tables for one run of an operator."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, batch_rows: int | None = None):
+        self.spark, self.batch_rows = spark, batch_rows
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
     def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-        with shuffle_files_freed(self.spark):
+        with shuffle_files_freed(self.spark), small_batches(self.spark, self.batch_rows):
             df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(self.path(name))
         return self.read(name, df.schema)
 
