@@ -16,21 +16,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.good_documents(spark, docs, quality.fit(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def _with_key(docs: DataFrame) -> DataFrame:
+    """Rows of docs with their id (_k) and a hash of their text (_h)."""
+    return docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
+
+
 def _by_key(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """Rows of docs with, or without, their id and text in keys (_k, _h)."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    keyed = docs.withColumns({"_k": key, "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(keys, ["_k", "_h"], how).select(*docs.columns)
+    return _with_key(docs).join(keys, ["_k", "_h"], how).select(*docs.columns)
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share 0.8 of their five-word shingles, directly or through others, the one of the least id stays."""
+    """Of documents that share 0.8 of their five-word shingles, directly or through others, the one row of the least id and
+    text stays; rows without words all stay, whatever their ids."""
     scratch = Scratch(spark, "neardup-stage")
-    found = scratch.write(neardup.near_duplicates(spark, docs, 5, 80), "found")
-    kept = found.where("kept").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_k"))
-    out = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).join(kept.distinct(), "_k", "left_semi").select(*docs.columns)
-    # Rows of the same id are one document of the group; they cost a shuffle only where there are any.
-    return out if kept.groupBy("_k").count().where("count > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    found = scratch.write(neardup.labelled(spark, docs, 5, 80), "found")
+    keys = found.groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_k"), F.col("dh").alias("_h")).agg(F.bool_or("first").alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    # One row stays of those that are the same in id and text; all others stay or go by their key.
+    keys = scratch.write(keys.where("not first or n > 0 and rows > 1"), "keys")
+    one = _with_key(docs).join(keys.where("first").select("_k", "_h"), ["_k", "_h"], "left_semi").dropDuplicates(["_k", "_h"]).select(*docs.columns)
+    return _by_key(docs, keys.select("_k", "_h"), "left_anti").unionByName(one)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -246,14 +246,9 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFram
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
-    """Components of documents whose shingle sets reach ``percent`` of their union in common.
-
-    Reads ``doc_id, text``; other columns are ignored. One row per input row, repeated ids included: ``doc_id,
-    n_shingles, component_id`` (the smallest id of the component) and ``kept``. Fewer words than a shingle are one
-    shingle together; a null text, or one without words, is empty and stands alone. A null id counts as larger than
-    any; an empty table gives no rows.
-    """
+def labelled(spark: SparkSession, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """One row per input row: doc_id, dh (hash of the text), n (shingles), component_id, and first: is it by id and text the
+    least of its component, or empty? Rows of the same id and text are all first or all not."""
     scratch = Scratch(spark, "neardup", batch_rows=1000)
     least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / M) ** 0.5
     texts = pick(docs, F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("dh", F.xxhash64("text"))
@@ -298,11 +293,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, perc
         edges = edges.unionByName(confirmed(crossed, "edges-2"))
         comps = scratch.write(components(scratch, edges, "cc2"), "comps-2")
 
-    named = nodes.join(comps, "node").groupBy("comp").agg(F.min("of.doc_id").alias("component_id"))
-    of_node = nodes.join(comps, "node", "left").join(named, "comp", "left").select("node", F.coalesce("component_id", "of.doc_id").alias("component_id"))
-    out = rows.select("doc_id", "n", "node").join(of_node, "node", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = nodes.join(comps, "node").groupBy("comp").agg(F.min("of").alias("best"))
+    of_node = nodes.join(comps, "node", "left").join(named, "comp", "left").select("node", F.coalesce("best", "of").alias("best"))
+    out = rows.select("doc_id", "dh", "n", "node").join(of_node, "node", "left")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("best.doc_id"))
+    first = (F.col("n") == 0) | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("dh") == F.col("best.dh")))
+    return out.select("doc_id", "dh", "n", component.alias("component_id"), first.alias("first"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
+    """Components of documents whose shingle sets reach ``percent`` of their union in common.
+
+    Reads ``doc_id, text``; other columns are ignored. One row per input row, repeated ids included: ``doc_id,
+    n_shingles, component_id`` (the smallest id of the component) and ``kept``. Fewer words than a shingle are one
+    shingle together; a null text, or one without words, is empty and stands alone. A null id counts as larger than
+    any; an empty table gives no rows.
+    """
+    out = labelled(spark, docs, shingle, percent)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
