@@ -3,7 +3,7 @@
 Three kinds stand for themselves: assigned credentials, access identifiers and long hexadecimal runs. Three weak kinds
 count only together: ``ident`` (an account or key name that is given a value), ``blob`` (a long run of letters and
 digits) and ``endpoint`` (an address of a service). Parts of the same text are linked by an interval join: positions are
-cut into scopes, each part looks into its own and the neighbouring scopes, and a weak part is reported if its
+cut into scopes, each part looks into all scopes it covers and the neighbouring ones, and a weak part is reported if its
 complements stand within ``SCOPE`` code points: a blob next to an identifier, an identifier next to a secret, an
 endpoint next to both. The joins are semi-joins, so no pairs are emitted.
 """
@@ -69,8 +69,8 @@ def _near(left: DataFrame, right: DataFrame) -> DataFrame:
     span = F.floor(F.col("end") / SCOPE)
     r = right.select("dk", "dh", F.col("start").alias("s2"), F.col("end").alias("e2"), F.explode(F.sequence(scope - 1, span + 1)).alias("scope"))
     near = (F.col("s2") <= F.col("end") + SCOPE) & (F.col("e2") >= F.col("start") - SCOPE)
-    l = left.withColumn("scope", scope)  # noqa: E741
-    return l.join(r, (l.dk == r.dk) & (l.dh == r.dh) & (l.scope == r.scope) & near, "left_semi").drop("scope")
+    l = left.withColumn("scope", F.explode(F.sequence(scope, span)))  # noqa: E741
+    return l.join(r, (l.dk == r.dk) & (l.dh == r.dh) & (l.scope == r.scope) & near, "left_semi").drop("scope").distinct()
 
 
 def _text(spans: Column) -> Column:
