@@ -7,8 +7,8 @@ words, one after the other. So every distinct word is encoded once:
    block's list of distinct words go into a file of the shared folder; the lists themselves, cut by a hash of the word
    into buckets, are written as a table, which also names the file. Files that it doesn't name don't count.
 2. All lists of a bucket come together, so each distinct word is encoded in one place, once.
-3. The ids go back to their blocks. There a co-group with the file puts the words' ids in the order of the positions, and
-   decodes them through the vocabulary's id-to-piece table.
+3. The ids go back to their blocks. There, with the block's file, they are put in the order of the positions, some
+   documents at a time, and decoded through the vocabulary's id-to-piece table.
 
 What is shuffled are the distinct words of blocks and their ids, compressed, never texts or occurrences; a word that is in
 every document costs one entry a block.
@@ -21,6 +21,7 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,11 +31,14 @@ from pandas.util import hash_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moments.llm.util import Scratch, pick, text_or_empty
+from moments.llm.util import Scratch, pick, text_or_empty, trimmed
 
-BLOCK_BYTES = 64_000_000
-#: Distinct words that one worker remembers while it encodes a bucket; beyond it, it starts afresh.
-MEMORY_WORDS = 250_000
+#: Text of a block. All that a worker holds at a time is a small multiple of it, or of the one text that is larger.
+BLOCK_BYTES = 24_000_000
+#: Words that the tokenizer gets at a time (each of its results takes about a kilobyte), and numbers packed at a time.
+ENCODE_WORDS, PACK_NUMBERS = 4096, 1 << 19
+#: Words of documents that are put together at a time.
+JOIN_WORDS = 400_000
 
 
 class Codes(dict):
@@ -57,8 +61,10 @@ def slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
 
 def pack(numbers: np.ndarray) -> bytes:
     """Variable-length bytes, seven bits each, least significant first."""
-    if not len(numbers):
-        return b""
+    return b"".join(_packed(numbers[k : k + PACK_NUMBERS]) for k in range(0, len(numbers), PACK_NUMBERS))
+
+
+def _packed(numbers: np.ndarray) -> bytes:
     v = numbers.astype(np.uint64)
     size = np.ones(len(v), np.int64)
     for k in range(1, 10):
@@ -74,10 +80,19 @@ def pack(numbers: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def unpack(blob: bytes) -> np.ndarray:
+def unpack(blob: bytes, dtype=np.int64) -> np.ndarray:
     b = np.frombuffer(blob, np.uint8)
-    if not len(b):
-        return np.empty(0, np.int64)
+    out, at = [np.empty(0, dtype)], 0
+    while at < len(b):
+        end = min(at + PACK_NUMBERS, len(b))
+        while b[end - 1] >= 128:
+            end += 1
+        out.append(_unpacked(b[at:end]).astype(dtype))
+        at = end
+    return np.concatenate(out)
+
+
+def _unpacked(b: np.ndarray) -> np.ndarray:
     last = np.flatnonzero(b < 128)
     starts = np.concatenate([[0], last[:-1] + 1])
     place = np.arange(len(b)) - np.repeat(starts, last - starts + 1)
@@ -113,9 +128,10 @@ def _splitter(base: str, buckets: int):
         def flush() -> pa.RecordBatch:
             nonlocal made, ids, counts, parts, size
             coded = pa.concat_arrays(parts).dictionary_encode()
-            flat, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False)
+            parts = []
+            flat, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
             often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-            rank = np.empty(len(often), np.int64)
+            rank = np.empty(len(often), np.int32)
             rank[often] = np.arange(len(often))
             words = words[often]
             bucket = (hash_array(words) % np.uint64(buckets)).astype(np.int64) if len(words) else np.empty(0, np.int64)
@@ -163,28 +179,39 @@ ENCODED_SCHEMA = "block long, bucket int, file string, ids binary, sizes binary"
 
 
 def load_tokenizer(path: str):
-    """The tokenizer of a file with truncation and padding off, on one thread, and its id-to-piece table."""
+    """The tokenizer of a file with truncation and padding off, on one thread."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    table = {i: p for p, i in tok.get_vocab(with_added_tokens=True).items()}
-    return tok, [table.get(i, "") for i in range(max(table) + 1)]
+    return tok
+
+
+@lru_cache(2)
+def pieces(path: str) -> pa.Array:
+    """The id-to-piece table of a file; a worker keeps it, but not the tokenizer."""
+    table = {i: p for p, i in load_tokenizer(path).get_vocab(with_added_tokens=True).items()}
+    return pa.array([table.get(i, "") for i in range(max(table) + 1)])
 
 
 def _encoder(path: str):
+    """Rows come sorted by bucket, so what is remembered is one bucket's distinct words, each encoded once."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, _ = load_tokenizer(path)
+        tok = load_tokenizer(path)
         known: dict[str, list[int]] = {}
+        current = None
         for batch in batches:
             for block, bucket, blob, file in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if bucket != current:
+                    known, current = {}, bucket
                 words = _unsqueeze(blob).decode().split("\n")
-                if len(known) > MEMORY_WORDS:
-                    known = {}
                 new = list(set(words).difference(known))
-                known.update(zip(new, [e.ids for e in tok.encode_batch_fast(new, add_special_tokens=False)], strict=True))
+                for k in range(0, len(new), ENCODE_WORDS):
+                    some = new[k : k + ENCODE_WORDS]
+                    known.update(zip(some, [e.ids for e in tok.encode_batch_fast(some, add_special_tokens=False)], strict=True))
                 got = [known[w] for w in words]
                 sizes = np.fromiter(map(len, got), np.int64, len(got))
                 flat = np.fromiter(chain.from_iterable(got), np.int64, int(sizes.sum()))
@@ -202,54 +229,68 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def _assembler(path: str, digests: bool):
-    def assemble(table: pa.Table) -> pa.Table:
-        from pyarrow import fs
-
-        _, vocabulary = load_tokenizer(path)
-        rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
-        system, name = fs.FileSystem.from_uri(rows[0]["file"])
-        with system.open_input_file(name) as source:
-            raw = source.read()
-        n_docs, _, *ends = struct.unpack_from("<QQ4Q", raw)
-        at, blobs = 48, []
-        for n in ends:
-            blobs.append(_unsqueeze(raw[at : at + n]))
-            at += n
-        doc_ids = pa.array(np.frombuffer(blobs[0], "<i8", n_docs), mask=np.frombuffer(blobs[0], np.uint8, n_docs, 8 * n_docs) == 0)
-        n_words, order, codes = (unpack(b) for b in blobs[1:])
-        sizes = np.empty(len(order), np.int64)
-        sizes[order] = np.concatenate([unpack(_unsqueeze(r["sizes"])) for r in rows])
-        flat = np.concatenate([np.frombuffer(b := _unsqueeze(r["ids"]), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1) for r in rows])
-        starts = np.empty(len(order), np.int64)
-        starts[order] = np.cumsum(sizes[order]) - sizes[order]
-        # Words as strings of ids and of pieces, in the order of their codes; words without ids drop out.
-        mine = flat[_spans(starts, sizes)]
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        texts = [pc.binary_join(pa.ListArray.from_arrays(offsets, v), " ") for v in (pc.cast(pa.array(mine), pa.string()), pa.array(vocabulary).take(pa.array(mine)))]
-        ends = np.cumsum(n_words)
-        totals = np.concatenate([[0], np.cumsum(sizes[codes])])
-        n_tokens = totals[ends] - totals[ends - n_words]
-        if (sizes == 0).any():
-            kept = sizes[codes] > 0
-            ends = np.concatenate([[0], np.cumsum(kept)])[ends]
-            codes = codes[kept]
-        out: list[list] = [[], []]
-        bounds, d = [0, *ends.tolist()], 0
-        while d < n_docs:  # some documents at a time, so that no joined column outgrows 32-bit offsets
-            e = max(d + 1, int(np.searchsorted(ends, bounds[d] + 4_000_000, "right")))
-            part = pa.array(codes[bounds[d] : bounds[e]])
-            lists = pa.array(np.array(bounds[d : e + 1], np.int64) - bounds[d], pa.int32())
-            for column, words in zip(out, texts, strict=True):
-                joined = pc.binary_join(pa.ListArray.from_arrays(lists, words.take(part)), " ")
-                if digests:
-                    data, edges = memoryview(joined.buffers()[2] or b""), np.frombuffer(joined.buffers()[1], np.int32, e - d + 1, 4 * joined.offset).tolist()
-                    column += [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(edges, edges[1:], strict=False)]
-                else:
-                    column += joined.to_pylist()
-            d = e
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each block; they come sorted by block and bucket."""
+    rows: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and row["block"] != rows[0]["block"]:
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _assembled(rows: list[dict], vocabulary: pa.Array, digests: bool) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(rows[0]["file"])
+    with system.open_input_file(name) as source:
+        raw = source.read()
+    n_docs, _, *lengths = struct.unpack_from("<QQ4Q", raw)
+    at, blobs = 48, []
+    for n in lengths:
+        blobs.append(_unsqueeze(raw[at : at + n]))
+        at += n
+    doc_ids = pa.array(np.frombuffer(blobs[0], "<i8", n_docs), mask=np.frombuffer(blobs[0], np.uint8, n_docs, 8 * n_docs) == 0)
+    n_words, order, codes = unpack(blobs[1]), unpack(blobs[2]), unpack(blobs[3], np.int32)
+    del raw, blobs
+    sizes, starts = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    sizes[order] = np.concatenate([unpack(_unsqueeze(r["sizes"])) for r in rows])
+    flat = np.concatenate([np.frombuffer(b := _unsqueeze(r["ids"]), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1) for r in rows])
+    starts[order] = np.cumsum(sizes[order]) - sizes[order]
+    # Words as strings of ids and of pieces, in the order of their codes; words without ids drop out.
+    mine = pa.array(flat[_spans(starts, sizes)])
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    texts = [pc.binary_join(pa.ListArray.from_arrays(offsets, v), " ") for v in (pc.cast(mine, pa.string()), vocabulary.take(mine))]
+    ends, d = np.cumsum(n_words), 0
+    while d < n_docs:  # some documents at a time, one at least
+        first = int(ends[d - 1]) if d else 0
+        e = max(d + 1, int(np.searchsorted(ends, first + JOIN_WORDS, "right")))
+        part = codes[first : int(ends[e - 1])]
+        bounds = np.concatenate([[0], ends[d:e] - first])
+        has = sizes[part]
+        n_tokens = np.diff(np.concatenate([[0], np.cumsum(has)])[bounds])
+        if len(has) and not has.all():
+            bounds = np.concatenate([[0], np.cumsum(has > 0)])[bounds]
+            part = part[has > 0]
+        lists, taken, columns = pa.array(bounds, pa.int32()), pa.array(part), []
+        for words in texts:
+            joined = pc.binary_join(pa.ListArray.from_arrays(lists, words.take(taken)), " ")
+            if digests:
+                data, edges = memoryview(joined.buffers()[2] or b""), np.frombuffer(joined.buffers()[1], np.int32, e - d + 1, 4 * joined.offset).tolist()
+                joined = pa.array([hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(edges, edges[1:], strict=False)], pa.string())
+            columns.append(joined)
         names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
-        return pa.table([doc_ids, pa.array(n_tokens, pa.int64()), pa.array(out[0], pa.string()), pa.array(out[1], pa.string())], names)
+        yield pa.RecordBatch.from_arrays([doc_ids.slice(d, e - d), pa.array(n_tokens, pa.int64()), *columns], names)
+        d = e
+
+
+def _assembler(path: str, digests: bool):
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches):
+            yield from _assembled(rows, pieces(path), digests)
 
     return assemble
 
@@ -263,13 +304,14 @@ def bpe_roundtrip(spark: SparkSession, docs: DataFrame, tokenizer_path: str, dig
     gives an empty result. A text larger than a block is a block of its own. ``buckets`` of words: as many as shuffle
     partitions, unless given; it should grow with the vocabulary.
     """
-    scratch = Scratch(spark, "words")
+    scratch = Scratch(spark, "words", batch_rows=2000)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = pick(docs, F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    split = scratch.write(texts.mapInArrow(_splitter(scratch.path("codes"), buckets), SPLIT_SCHEMA), "split")
-    encoded = split.select("block", "bucket", "words", "file").repartition("bucket").mapInArrow(_encoder(tokenizer_path), ENCODED_SCHEMA)
+    split = scratch.write(texts.mapInArrow(trimmed(_splitter(scratch.path("codes"), buckets)), SPLIT_SCHEMA), "split")
+    lists = split.select("block", "bucket", "words", "file").repartition("bucket").sortWithinPartitions("bucket", "block")
+    encoded = lists.mapInArrow(trimmed(_encoder(tokenizer_path)), ENCODED_SCHEMA)
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids string, decoded string")
-    return encoded.groupBy("block").applyInArrow(_assembler(tokenizer_path, digests), schema)
+    return encoded.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(trimmed(_assembler(tokenizer_path, digests)), schema)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
