@@ -54,6 +54,25 @@ def detect_impact(df: DataFrame, dim: DataFrame) -> DataFrame:
     return x.withColumn("is_triggered", ~speech & (strong("s") | strong("d"))).withColumn("confidence", F.when(speech, 0.0).otherwise(sure))
 
 
+def detect_one(rms: float, peak: float, crossing: float, baseline: float, recent: float, sensitivity: str = "automatic") -> tuple[float, bool, float]:
+    """score, triggered and confidence of one window, as ``detect_impact`` gives for rows; for machines that keep their own levels."""
+    score = min(1.0, 0.55 * rms + 0.45 * peak + 0.35 * min(1.0, 10 * crossing) * rms)
+    if sensitivity == "automatic":
+        sensitivity = "noisy" if baseline >= 0.026 else "quiet" if baseline <= 0.009 else "normal"
+    th = dict(zip(THRESHOLD_NAMES, THRESHOLDS[sensitivity], strict=True))
+    rise, crest = score / max(0.003, baseline, 0.82 * recent), peak / max(0.001, rms)
+    if rms >= 0.025 and crest < 3.15 and crossing < 0.16 and rise < 4.8 and score < 0.18:
+        return score, False, 0.0
+
+    def strong(p: str) -> bool:
+        loud = score >= max(th[f"{p}_score"], baseline * th[f"{p}_base"]) and peak >= max(th[f"{p}_peak"], baseline * th[f"{p}_peak_base"])
+        return loud and rise >= th[f"{p}_rise"] and crossing >= th[f"{p}_cross"] and crest >= th[f"{p}_crest"]
+
+    ratio = lambda v, n: v / max(0.001, th[n])
+    sure = 0.28 * ratio(score, "d_score") + 0.22 * ratio(peak, "d_peak") + 0.24 * ratio(rise, "d_rise") + 0.13 * min(ratio(crossing, "d_cross"), 1.8) + 0.13 * min(ratio(crest, "d_crest"), 1.8)
+    return score, strong("s") or strong("d"), sure
+
+
 def photo_quality(sharpness: Column, exposure: Column, pixels: Column, aesthetics: Column | None = None) -> Column:
     base = 0.4 * sharpness + 0.2 * exposure + F.ln(pixels.cast("double")) / 100
     return base if aesthetics is None else F.coalesce(0.4 * base + 0.6 * aesthetics, base)
@@ -87,6 +106,11 @@ def rotation(degrees: Column) -> Column:
     return F.when(r.isin(0, 90, 180, 270), r).otherwise(0)
 
 
+def source_rotation(side: Column, tag: Column) -> Column:
+    """Clockwise turn of a picture: the display matrix counts the other way and goes before the tag; null and odd angles are 0."""
+    return F.coalesce(rotation(F.coalesce(-side, tag)), F.lit(0))
+
+
 def logit(p: Column) -> Column:
     q = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), p))
     return F.ln(q / (1 - q))

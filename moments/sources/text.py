@@ -1,4 +1,4 @@
-"""Text sources: media-tool metadata lines, label logs and the strict tab-separated protocol."""
+"""Text sources: media-tool metadata lines and label logs."""
 
 from __future__ import annotations
 
@@ -20,16 +20,12 @@ def latest_labels(log: DataFrame) -> DataFrame:
     return log.groupBy("id").agg(F.max(F.struct("log_order", "label")).alias("x")).select("id", F.col("x.label").alias("label"))
 
 
+def with_latest_labels(candidates: DataFrame, log: DataFrame, default: str) -> DataFrame:
+    """Adds label to candidates (id): the last one of the log, or the default."""
+    return candidates.join(latest_labels(log), "id", "left").withColumn("label", F.coalesce("label", F.lit(default)))
+
+
 def recovered(ids: DataFrame) -> DataFrame:
     """source and t of ids like engine-3-00000125; others drop out."""
     part = lambda k: F.regexp_extract("id", r"^engine-(\d+)-(\d+)$", k)
     return ids.where(part(1) != "").select("id", part(1).cast("long").alias("source"), (part(2).cast("double") / 10).alias("t"))
-
-
-def strict_protocol(lines: DataFrame) -> DataFrame:
-    """ord, line -> tag and fields of a file whose every line must be PHOTO or VIDEO (first) or an I, F, D or B record of its arity; else the query fails."""
-    f = F.split("line", "\t")
-    arity = F.create_map(*[F.lit(x) for p in {"PHOTO": 3, "VIDEO": 12, "I": 6, "F": 5, "D": 4, "B": 2}.items() for x in p])
-    good = (F.length("line") <= 256) & (F.size(f) == F.try_element_at(arity, f[0])) & ((F.col("ord") == 0) == f[0].isin("PHOTO", "VIDEO"))
-    checked = F.when(F.coalesce(good, F.lit(False)), f).otherwise(F.raise_error(F.concat(F.lit("bad line "), F.col("ord").cast("string"))))
-    return lines.select("ord", checked.alias("fields")).select("ord", F.col("fields")[0].alias("tag"), F.slice("fields", 2, 20).alias("fields"))
