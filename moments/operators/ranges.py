@@ -20,26 +20,58 @@ def band_max(left: DataFrame, right: DataFrame, key: str, reach: float, default:
     return left.join(top, [key, "t"], "left").withColumn("peak", F.coalesce("peak", F.lit(default)))
 
 
-def forward_asof(left: DataFrame, right: DataFrame, key: str, lead: float) -> DataFrame:
-    """Adds next_u: the first u of right (key, u) with u > t + lead. One sort of the union, no pairs."""
-    both = left.withColumn("_at", F.col("t") + lead).withColumn("_u", F.lit(None).cast("double")).unionByName(right.select(key, F.col("u").alias("_at"), F.col("u").alias("_u")), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.col("_at").desc(), F.col("_u").isNull().desc())
-    return both.withColumn("next_u", F.last("_u", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_u is null").drop("_at", "_u")
+def contained(points: DataFrame, intervals: DataFrame, key: str, width: float, how: str = "inner") -> DataFrame:
+    """points (key, t, ...) with intervals (key, start, end, ...) that hold them, ends included.
+
+    An interval goes into each bucket of ``width`` that it touches, so choose a width near the usual length.
+    """
+    p = points.withColumn("_b", F.floor(F.col("t") / width))
+    i = intervals.where("start <= end").withColumn("_c", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width)))).withColumnRenamed(key, "_k")
+    return p.join(i, (p[key] == i["_k"]) & (p["_b"] == i["_c"]) & p["t"].between(i["start"], i["end"]), how).drop("_b", "_c", "_k")
+
+
+def _beside(left: DataFrame, right: DataFrame, key: str, names: list[str], at: Column, left_first: bool) -> tuple[DataFrame, Column]:
+    """The union of both sides, right rows wrapped into _r, and the order in which left rows come before or after right rows of the same _at."""
+    l = left.withColumn("_at", at)  # noqa: E741
+    r = right.select(key, F.col("u").alias("_at"), F.struct("u", *[n for n in names if n != "u"]).alias("_r"))
+    return l.unionByName(r, allowMissingColumns=True), (F.col("_r").isNotNull() if left_first else F.col("_r").isNull())
+
+
+def forward_asof(left: DataFrame, right: DataFrame, key: str, lead: float = 0.0, inclusive: bool = False, values: list[str] | None = None) -> DataFrame:
+    """Adds next_u, and next_<name> of ``values``: of the first right row (key, u, ...) with u > t + lead, or >= if inclusive.
+
+    One sort of the union, no pairs. Of right rows with equal u that of the least values counts.
+    """
+    names = ["u", *(values or [])]
+    both, side = _beside(left, right, key, names, F.col("t") + lead, not inclusive)
+    w = Window.partitionBy(key).orderBy(F.col("_at").desc(), side, F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    x = both.withColumn("_n", F.last("_r", True).over(w)).where("_r is null")
+    return x.withColumns({f"next_{n}": F.col("_n")[n] for n in names}).drop("_at", "_r", "_n")
 
 
 def backward_asof(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
-    """Adds value of the last right row (key, u, value) with u <= t."""
-    both = left.withColumn("_o", F.lit(1)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).unionByName(right.select(key, F.col("u").alias("t"), F.lit(0).alias("_o"), F.col(value).alias("_v")), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("t", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_v", True).over(w)).where("_o = 1").drop("_o", "_v")
-
-
-def nearest(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Adds near_u: the u of right (key, u) nearest to t; of two as near the later one."""
-    after = forward_asof(left.withColumn("t0", F.col("t")).withColumn("t", F.col("t") - 1e-12), right, key, 0.0).withColumn("t", F.col("t0")).withColumnRenamed("next_u", "_a")
-    both = backward_asof(after, right.select(key, "u", F.col("u").alias("_b")), key, "_b")
-    pick = F.when(F.col("_b").isNull() | (F.col("_a") - F.col("t0") <= F.col("t0") - F.col("_b")), F.col("_a")).otherwise(F.col("_b"))
-    return both.withColumn("near_u", pick).drop("_a", "_b", "t0")
+    """Adds value of the last right row (key, u, value) with u <= t, null if that row's value is; of equal u the greatest value counts."""
+    names = ["u", value]
+    both, side = _beside(left, right, key, names, F.col("t"), False)
+    w = Window.partitionBy(key).orderBy("_at", side, F.col("_r")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("_n", F.last("_r", True).over(w)).where("_r is null").withColumn(value, F.col("_n")[value]).drop("_at", "_r", "_n")
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, values: list[str] | None = None) -> DataFrame:
+    """Adds near_u, and near_<name> of ``values``: of the right row (key, u, ...) nearest to t; of two as near the later one."""
+    names = ["u", *(values or [])]
+    after = forward_asof(left, right, key, 0.0, True, values).withColumn("_a", F.struct(*[F.col(f"next_{n}").alias(n) for n in names])).drop(*[f"next_{n}" for n in names])
+    both, side = _beside(after, right, key, names, F.col("t"), True)
+    w = Window.partitionBy(key).orderBy("_at", side, F.col("_r")).rowsBetween(Window.unboundedPreceding, 0)
+    x = both.withColumn("_p", F.last("_r", True).over(w)).where("_r is null")
+    later = F.col("_p").isNull() | (F.col("_a")["u"] - F.col("t") <= F.col("t") - F.col("_p")["u"])
+    pick = F.when(later, F.col("_a")).otherwise(F.col("_p"))
+    return x.withColumns({f"near_{n}": pick[n] for n in names}).drop("_at", "_r", "_p", "_a")
+
+
+def cut_list(cuts: Column, end: Column) -> Column:
+    """The finite cuts inside (0, end), distinct and sorted."""
+    return F.array_sort(F.array_distinct(F.filter(cuts, lambda c: c.isNotNull() & ~F.isnan(c) & (c > 0) & (c < end))))
 
 
 def shot_bounds(cuts: Column, t: Column, end: Column) -> tuple[Column, Column]:

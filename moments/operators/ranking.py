@@ -31,18 +31,38 @@ def average_precision(df: DataFrame, group: str, top: int) -> DataFrame:
     )
 
 
+def _places(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Values in order within their group, with their place and how many there are: a sort that spills, no list in memory."""
+    w = Window.partitionBy(group)
+    return df.where(F.col(value).isNotNull()).withColumns({"_r": F.row_number().over(w.orderBy(value)), "_n": F.count(F.lit(1)).over(w)})
+
+
+def _at(value: str, place: Column) -> Column:
+    return F.max(F.when(F.col("_r") == place, F.col(value)))
+
+
+def _between(value: str, at: Column, low: Column) -> Column:
+    """The value at a place, counted from 1, that may lie between two; ``low`` is the lower one."""
+    below, above = _at(value, low), _at(value, F.least(low + 1, F.col("_n")))
+    return below + (F.max(at) - F.max(low)) * (above - below)
+
+
 def summary(df: DataFrame, group: str, value: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(group).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), q.alias("q")).select(group, "n", "low", "high", "mean", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"))
+    """group, n, low, high, mean, p25, p50, p75 (linear between neighbours)."""
+    quartiles = {}
+    for name, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+        at = q * (F.col("_n") - 1) + 1
+        quartiles[name] = _between(value, at, F.floor(at))
+    return _places(df, group, value).groupBy(group).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), *[x.alias(n) for n, x in quartiles.items()])
 
 
-def exclusive_p90(values: Column) -> Column:
-    """The ninth decile at position 0.9 (n + 1) of the sorted values; needs two at least."""
-    v, n = F.array_sort(values), F.size(values)
-    at = 0.9 * (n + 1)
-    j = F.least(n - 1, F.greatest(F.lit(1), F.floor(at).cast("int")))
-    return F.when(n >= 2, F.element_at(v, j) + (at - j) * (F.element_at(v, j + 1) - F.element_at(v, j)))
+def exclusive_p90(df: DataFrame, group: str, value: str) -> DataFrame:
+    """group, p90: the ninth decile at place 0.9 (n + 1); null for fewer than two values."""
+    at = 0.9 * (F.col("_n") + 1)
+    low = F.least(F.col("_n") - 1, F.greatest(F.lit(1), F.floor(at)))
+    return _places(df, group, value).groupBy(group).agg(F.when(F.max("_n") >= 2, _between(value, at, low)).alias("p90"))
 
 
-def upper_median(values: Column) -> Column:
-    return F.element_at(F.array_sort(values), (F.size(values) / 2).cast("int") + 1)
+def upper_median(df: DataFrame, group: str, value: str) -> DataFrame:
+    """group, m: the middle value, the upper of two."""
+    return _places(df, group, value).groupBy(group).agg(_at(value, F.floor(F.col("_n") / 2) + 1).alias("m"))
