@@ -10,28 +10,11 @@ from pyspark.sql import functions as F
 
 from moments.functions import scalars as S
 from moments.operators import greedy, ranges, ranking
+from moments.operators import photos as PH
 from moments.plans import testdata as T
+from moments.plans.base import ORACLES, QUERIES, c, query, r6  # noqa: F401
 from moments.sources import text
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-c = F.col
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def r6(x):
-    return F.round(x, 6)
-
-
 E, A, P, C = T.EVENTS_SQL, T.AUDIO_SQL, T.PHOTOS_SQL, T.CLIPS_SQL
 
 
@@ -160,15 +143,6 @@ def sim_quality(spark, d):
     return T.photos(spark, d).select("idx", r6(S.similarity_quality(c("sharp"), c("px"))).alias("q"))
 
 
-@query("f12_validation", f"select set_id, idx, case when count(*) over (partition by set_id, k) > 1 then 'duplicateIndex' when k < 0 then 'invalidIndex' when sharp > 0.9 then 'invalidSharpness' when expo > 0.9 then 'invalidExposure' when aes is null then 'invalidAesthetics' end reason from (select *, case when idx % 50 < 2 then -idx // 50 else idx end k from {P})")
-def validation(spark, d):
-    k = F.when(c("idx") % 50 < 2, F.expr("-(idx div 50)")).otherwise(c("idx"))
-    p = T.photos(spark, d).withColumn("k", k)
-    n = F.count(F.lit(1)).over(Window.partitionBy("set_id", "k"))
-    reason = F.when(n > 1, "duplicateIndex").when(c("k") < 0, "invalidIndex").when(c("sharp") > 0.9, "invalidSharpness").when(c("expo") > 0.9, "invalidExposure").when(c("aes").isNull(), "invalidAesthetics")
-    return p.select("set_id", "idx", reason.alias("reason"))
-
-
 _ramp = lambda x, lo, w: f"least(1.0, greatest(0.0, ({x} - {lo}) / {w}))"
 
 
@@ -225,11 +199,8 @@ def label_log(spark, d):
 _COS = "least(2, greatest(0, 1 - list_dot_product(a.e::double[], b.e::double[]) / sqrt(list_dot_product(a.e::double[], a.e::double[])) / sqrt(list_dot_product(b.e::double[], b.e::double[]))))"
 
 
-def _pairs(spark, d):
-    p = T.photos(spark, d)
-    a, b = p.select("set_id", c("idx").alias("i"), c("e").alias("x")), p.select("set_id", c("idx").alias("j"), c("e").alias("y"))
-    # sets are bounded, as a set is one selection; pairs meet within it only
-    return a.join(b, "set_id").where("i < j").select("set_id", "i", "j", S.cosine_distance(c("x"), c("y")).alias("d"))
+def _pairs(spark, d, limit=None):
+    return PH.vector_pairs(T.photos(spark, d), "set_id", limit)
 
 
 @query("j01_v02_pair_distances", f"select a.set_id, a.idx i, b.idx j, round({_COS}, 6) d from {P} a join {P} b on a.set_id = b.set_id and a.idx < b.idx")
@@ -361,13 +332,13 @@ def distribution(spark, d):
 
 @query("a10_upper_median", f"select src, round(list_sort(list(value))[count(*) // 2 + 1], 6) m, round(greatest(10, 1.25 * list_sort(list(value))[count(*) // 2 + 1]), 6) thr from {E} group by 1")
 def medians(spark, d):
-    m = ranking.upper_median(F.collect_list("value"))
-    return T.events(spark, d).groupBy("src").agg(m.alias("m")).select("src", r6("m").alias("m"), r6(F.greatest(F.lit(10.0), 1.25 * c("m"))).alias("thr"))
+    x = ranking.upper_median(T.events(spark, d), "src", "value")
+    return x.select("src", r6("m").alias("m"), r6(F.greatest(F.lit(10.0), 1.25 * c("m"))).alias("thr"))
 
 
 @query("a11_exclusive_p90", f"select src, round(case when n >= 2 then v[j] + (p - j) * (v[j + 1] - v[j]) end, 6) p90 from (select *, least(n - 1, greatest(1, floor(p)))::int j from (select src, list_sort(list(value)) v, count(*) n, 0.9 * (count(*) + 1) p from {E} group by 1))")
 def p90(spark, d):
-    return T.events(spark, d).groupBy("src").agg(F.collect_list("value").alias("v")).select("src", r6(ranking.exclusive_p90(c("v"))).alias("p90"))
+    return ranking.exclusive_p90(T.events(spark, d), "src", "value").select("src", r6("p90").alias("p90"))
 
 
 @query("a13_train_stats", f"select kind, round(avg(value), 6) mean, round(case when stddev_pop(value) = 0 then 1 else stddev_pop(value) end, 6) sd from {E} group by 1")
@@ -375,13 +346,6 @@ def train_stats(spark, d):
     return T.events(spark, d).groupBy("kind").agg(r6(F.avg("value")).alias("mean"), r6(F.when(F.stddev_pop("value") == 0, 1.0).otherwise(F.stddev_pop("value"))).alias("sd"))
 
 
-@query("a14_time_histogram", f"with h as (select least(191, greatest(0, floor(t / 73 * 192)))::bigint b, avg(rms) r, max(peak) p from {A} group by 1) select k bucket, round(coalesce(r, 0), 6) r, round(coalesce(p, 0), 6) p from range(192) x(k) left join h on h.b = k")
-def histogram(spark, d):
-    b = F.least(F.lit(191), F.greatest(F.lit(0), F.floor(c("t") / 73 * 192))).cast("long")
-    h = T.audio(spark, d).groupBy(b.alias("bucket")).agg(F.avg("rms").alias("r"), F.max("peak").alias("p"))
-    return spark.range(192).select(c("id").alias("bucket")).join(h, "bucket", "left").select("bucket", r6(F.coalesce("r", F.lit(0.0))).alias("r"), r6(F.coalesce("p", F.lit(0.0))).alias("p"))
-
-
 @query("a16_best_per_source", f"select src, id from (select *, row_number() over (partition by src order by value desc, id) r from {E} where value >= 20) where r = 1")
 def best(spark, d):
     x = T.events(spark, d).where("value >= 20").groupBy("src").agg(F.max(F.struct("value", -c("id"))).alias("x"))
@@ -411,7 +375,4 @@ def window_features(spark, d):
     return rows.select("id", F.size("v").cast("long").alias("n"), r6(F.array_max("v") - F.array_min("v")).alias("rng"), r6(F.aggregate("dv", F.lit(0.0), lambda s, y: s + F.abs(y))).alias("path"), turn.cast("long").alias("reversals"))
 
 
-@query("g03_leader_clusters")
-def leaders(spark, d):
-    p = T.photos(spark, d).withColumn("quality", S.similarity_quality(c("sharp"), c("px")))
-    return greedy.leader_clusters(p, _pairs(spark, d), "set_id", 0.4).select("set_id", "idx", r6("quality").alias("quality"))
+from moments.plans import q_calibration, q_machines, q_matching, q_scalars, q_selection, q_sources, q_windows  # noqa: E402, F401
