@@ -21,7 +21,7 @@ from pandas.util import hash_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moments.llm.util import trimmed
+from moments.llm.util import prepare, trimmed
 from moments.llm.words import slices
 
 LABELLED, UNLABELLED = 8000, 4000
@@ -239,11 +239,13 @@ def score(spark: SparkSession, docs: DataFrame, targets: dict[str, Target], thre
     as empty; repeated rows are scored alike; without labels of both kinds a target has its share as the score of all,
     without any labels 0.5, and all documents are kept; an empty table gives no rows.
     """
+    prepare(spark)
     return _inputs(docs).mapInArrow(trimmed(_scorer(targets, False, threshold)), "doc_id long, p_quality double, p_toxic double, score double, kept boolean")
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, targets: dict[str, Target], threshold: float = 0.5) -> DataFrame:
     """The rows that are kept, with all their columns."""
+    prepare(spark)
     return docs.mapInArrow(trimmed(_scorer(targets, True, threshold)), docs.schema)
 
 

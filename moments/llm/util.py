@@ -11,13 +11,10 @@ import os
 import shutil
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors see. Only a local session may fall back to a temporary one."""
@@ -35,31 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + path
 
 
-@contextmanager
-def shuffle_files_freed(spark: SparkSession):
-    """Inside, the shuffle files of each finished action are removed at once instead of at some later collection."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
-
-
-@contextmanager
-def small_batches(spark: SparkSession, rows: int | None):
-    """Inside, Python workers get at most so many rows at a time, which bounds their memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    if rows:
-        spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+#: Rows that a Python worker gets at a time, at most.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Bounds what Python workers hold, and frees the shuffle files of each finished action at once.
+
+    Both settings are made once and never taken back or raised, so operators that run at the same time don't disturb each
+    other.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def trimmed(run):
@@ -89,16 +75,16 @@ def trim() -> None:
 class Scratch:
     """A folder of staged tables for one run of an operator."""
 
-    def __init__(self, spark: SparkSession, name: str, batch_rows: int | None = None):
-        self.spark, self.batch_rows = spark, batch_rows
+    def __init__(self, spark: SparkSession, name: str):
+        prepare(spark)
+        self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
     def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-        with shuffle_files_freed(self.spark), small_batches(self.spark, self.batch_rows):
-            df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(self.path(name))
+        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(self.path(name))
         return self.read(name, df.schema)
 
     def read(self, name: str, schema) -> DataFrame:

@@ -20,9 +20,9 @@ import hashlib
 import os
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -201,7 +201,7 @@ def _encoder(path: str):
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load_tokenizer(path)
-        known: dict[str, list[int]] = {}
+        known: dict[str, bytes] = {}
         current = None
         for batch in batches:
             for block, bucket, blob, file in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -211,12 +211,12 @@ def _encoder(path: str):
                 new = list(set(words).difference(known))
                 for k in range(0, len(new), ENCODE_WORDS):
                     some = new[k : k + ENCODE_WORDS]
-                    known.update(zip(some, [e.ids for e in tok.encode_batch_fast(some, add_special_tokens=False)], strict=True))
+                    known.update(zip(some, [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(some, add_special_tokens=False)], strict=True))
                 got = [known[w] for w in words]
-                sizes = np.fromiter(map(len, got), np.int64, len(got))
-                flat = np.fromiter(chain.from_iterable(got), np.int64, int(sizes.sum()))
+                sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+                flat = np.frombuffer(b"".join(got), "<u4")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), pa.array([bucket], pa.int32()), pa.array([file]), pa.array([_sized(flat.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())]), pa.array([_sized(pack(sizes))])],
+                    [pa.array([block]), pa.array([bucket], pa.int32()), pa.array([file]), pa.array([_sized(flat.view(np.uint8).reshape(-1, 4).T.tobytes())]), pa.array([_sized(pack(sizes))])],
                     ["block", "bucket", "file", "ids", "sizes"],
                 )
 
@@ -304,7 +304,7 @@ def bpe_roundtrip(spark: SparkSession, docs: DataFrame, tokenizer_path: str, dig
     gives an empty result. A text larger than a block is a block of its own. ``buckets`` of words: as many as shuffle
     partitions, unless given; it should grow with the vocabulary.
     """
-    scratch = Scratch(spark, "words", batch_rows=2000)
+    scratch = Scratch(spark, "words")
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = pick(docs, F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     split = scratch.write(texts.mapInArrow(trimmed(_splitter(scratch.path("codes"), buckets)), SPLIT_SCHEMA), "split")
