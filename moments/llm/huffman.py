@@ -334,6 +334,8 @@ def _writer(base: str, lengths: bytes, part_starts: dict[int, int], wide: bool):
                     state = {"file": f"{base}/{name}", "n_docs": 0, "n_tokens": 0, "start": start, "offsets": [], "sizes": [], "bytes": len(head)}
                 ids = np.frombuffer(r["ids"], kind)
                 bits, checks = pack_bits(ids, book)
+                if len(bits) >= 1 << 29:
+                    raise ValueError("a block's bits outgrow its 32-bit checkpoints")
                 docs, sizes = np.array([-1 if d is None else d for d in r["doc_ids"]], "<i8"), np.array(r["n_tokens"], "<u4")
                 nulls = np.packbits(np.array([d is None for d in r["doc_ids"]], bool)).tobytes()
                 blob = struct.pack("<QQQQ", len(docs), len(ids), start, len(bits)) + docs.tobytes() + nulls + sizes.tobytes() + checks.astype("<u4").tobytes() + bits
@@ -380,6 +382,8 @@ def _reader(with_ids: bool):
         for batch in batches:
             for r in batch.to_pylist():
                 if r["file"] != at:
+                    if source is not None:
+                        source.close()
                     system, path = _filesystem(r["file"])
                     at, source = r["file"], system.open_input_file(path)
                     book = open_file(source)
@@ -392,6 +396,8 @@ def _reader(with_ids: bool):
                 if with_ids:
                     columns.append(pa.array([ids[a:b].astype(np.int64) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
+        if source is not None:
+            source.close()
 
     return run
 
@@ -400,7 +406,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str,
     """Encodes all texts and writes the files; returns their manifest.
 
     Reads ``doc_id, text`` and ignores other columns. Documents are stored in ascending id, null ids first, rows of the
-    same id by text; a null or empty text is its end id alone. An empty table gives an empty manifest.
+    same id by a hash of their text; a null or empty text is its end id alone. An empty table gives an empty manifest.
     The code book has at most one entry per id of the vocabulary, and what the driver holds beside it is one number a file.
     """
     from tokenizers import Tokenizer
@@ -408,7 +414,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str,
     wide = max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) > 1 << 16
     scratch = scratch or Scratch(spark, "ids")
     texts = pick(docs, F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    staged = scratch.write(texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_stage(tokenizer_path, end_id, wide), STAGED), "staged")
+    staged = scratch.write(texts.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text").mapInArrow(_stage(tokenizer_path, end_id, wide), STAGED), "staged")
     counted = staged.where("hist_ids is not null").select("part", "start", F.explode(F.arrays_zip("hist_ids", "hist_counts")).alias("h"))
     hist = counted.groupBy(F.col("h.hist_ids").alias("id")).agg(F.sum("h.hist_counts").alias("n")).collect()
     counts = np.zeros(max([r.id for r in hist], default=0) + 1, np.int64)

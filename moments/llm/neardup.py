@@ -230,6 +230,9 @@ def _crosser(least: float):
 def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:
     """node, comp: for every node of an edge the least node of its component. Large-star and small-star in turns, each round a written table."""
     now, k = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0"), 0
+    # A round that changes nothing leaves as many edges with the same sums of two hashes.
+    mark = lambda df: df.agg(F.count(F.lit(1)), *[F.sum(F.xxhash64("a", "b", F.lit(n)).cast("decimal(38,0)")) for n in (1, 2)]).first()
+    before = mark(now)
     while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
@@ -238,10 +241,9 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFram
         least = down.groupBy("a").agg(F.min("b").alias("low"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").unionByName(least.select("a", F.col("low").alias("b"))).distinct()
         after = scratch.write(small, f"{name}-{k + 1}")
-        done = after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty()
         scratch.drop(f"{name}-{k}")
-        now, k = after, k + 1
-        if done:
+        now, k, last, before = after, k + 1, before, mark(after)
+        if last == before:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 

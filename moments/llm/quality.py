@@ -191,7 +191,8 @@ def _inputs(docs: DataFrame) -> DataFrame:
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> dict[str, Target]:
-    """Both targets, fitted on the samples. Of several labels of an id the lowest quality and the highest toxicity count; nulls are no labels."""
+    """Both targets, fitted on the samples. The views depend on each other as far as layout figures depend on words: the
+    documents have no page but their text, source and language. Of several labels of an id the lowest quality and the highest toxicity count; nulls are no labels."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().join(marks, "doc_id", "left")
     known = F.col("quality").isNotNull() | F.col("toxic").isNotNull()
@@ -244,7 +245,11 @@ def score(spark: SparkSession, docs: DataFrame, targets: dict[str, Target], thre
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, targets: dict[str, Target], threshold: float = 0.5) -> DataFrame:
-    """The rows that are kept, with all their columns."""
+    """The rows that are kept, with all their columns.
+
+    A null text counts as empty, a null or missing source or language as the empty one; a repeated row is kept or goes with all
+    its copies; a score at the threshold is kept; an empty table stays empty.
+    """
     prepare(spark)
     return docs.mapInArrow(trimmed(_scorer(targets, True, threshold)), docs.schema)
 

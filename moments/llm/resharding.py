@@ -12,7 +12,6 @@ for the smaller ones, which may move so much more than the least.
 
 from __future__ import annotations
 
-import zlib
 from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from moments.llm.util import Scratch, text_or_empty
 
 SHARDS = 24
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 16 << 20
 #: Blocks grow beyond that rather than be more than about so many, as the driver holds a row for each.
 MOST_BLOCKS = 50_000
 
@@ -79,8 +78,8 @@ def write_layout(spark: SparkSession, docs: DataFrame, old_shard, scratch: Scrat
     mean = sum(r.b for r in per.values()) / max(1, sum(r.n for r in per.values()))
     block = max(BLOCK_BYTES, sum(r.b for r in per.values()) // MOST_BLOCKS)
     pieces = F.create_map(*[F.lit(x) for k in range(shards) for x in (k, 1 + (per[k].b if k in per else 0) // block)])
-    rows = rows.withColumn("cls", (F.col("size") * 2 < mean).cast("int")).withColumn("piece", F.pmod(F.xxhash64("doc_id"), pieces[F.col("old")]).cast("int"))
-    # a block holds about BLOCK_BYTES, so its running sum fits one task
+    rows = rows.withColumn("cls", (F.col("size") * 2 < mean).cast("int")).withColumn("piece", F.pmod(F.xxhash64("doc_id", "text"), pieces[F.col("old")]).cast("int"))
+    # A block holds about BLOCK_BYTES, so its running sum fits one task. Rows of one id or of none spread by their texts.
     w = Window.partitionBy("old", "cls", "piece").orderBy("doc_id", "size", F.xxhash64("text"))
     placed = rows.withColumn("pos", F.row_number().over(w) - 1).withColumn("before", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     return scratch.write(placed.withColumn("before", F.coalesce("before", F.lit(0))), "old", "old", "cls", "piece")
@@ -168,7 +167,3 @@ def source_shard(shards: int = SHARDS):
 
 def op3_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshard_documents(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), source_shard())
-
-
-def crc32(text: str | None) -> int:
-    return zlib.crc32((text or "").encode())

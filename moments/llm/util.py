@@ -72,13 +72,30 @@ def trim() -> None:
         pass
 
 
+MADE: list[str] = []
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the staged tables of operators begun since MADE had so many entries, once their results have been written."""
+    gone = [base for base in MADE[since:] if base not in keep]
+    for base in gone:
+        _delete(spark, base)
+        MADE.remove(base)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
-    """A folder of staged tables for one run of an operator."""
+    """A folder of staged tables for one run of an operator. Results read from it, so it stays until ``release``."""
 
     def __init__(self, spark: SparkSession, name: str):
         prepare(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        MADE.append(self.base)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -91,8 +108,7 @@ class Scratch:
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(self.spark, self.path(name))
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 A package is a ZIP64 file with three stored members: ``archive/data.warc.gz`` (one gzip member per record),
 ``indexes/index.cdxj`` (offset and length of each record in it) and ``datapackage.json``. The reader looks at the end of
-the file for the central directory, finds where the members begin, reads the index, and fetches records by their ranges;
-nothing is unpacked to disk. Only packages named in the manifest table count.
+the file for the central directory, finds where the members begin, reads the indexes, and fetches records by their ranges;
+nothing is unpacked to disk. It takes packages of other makers, too. Only packages named in the manifest table count.
 """
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 import json
 import struct
@@ -138,7 +140,9 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
         raise ValueError("not a WARC record")
     head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     body = data[at + 4 : at + 4 + int(head["content-length"])]
-    return head, body[body.index(b"\r\n\r\n") + 4 :]
+    if "application/http" in head.get("content-type", ""):
+        body = body[body.index(b"\r\n\r\n") + 4 :]
+    return head, body
 
 
 MANIFEST = "file string, records long, bytes long"
@@ -193,6 +197,40 @@ def write_packages(spark: SparkSession, pages: DataFrame, scratch: Scratch, leas
     return scratch.write(linked.mapInArrow(_writer(scratch.path("packages")), MANIFEST), "manifest")
 
 
+def index_lines(data: bytes) -> list[dict]:
+    """Entries of a CDXJ index: a key, a time stamp and an object a line, or the object alone. Headers (``!``) and blank lines count for nothing."""
+    out = []
+    for line in data.decode().splitlines():
+        if line.strip() and not line.startswith("!"):
+            out.append(json.loads(line if line.startswith("{") else line.split(" ", 2)[2]))
+    return out
+
+
+def package_ranges(source, length: int) -> list[tuple[int, int]]:
+    """Where each indexed record of a package begins, and its stored length.
+
+    Archives are the members under ``archive/``, indexes those under ``indexes/`` with cdx in their names; an entry names its
+    archive unless there is only one. Archives have to be stored; indexes may be stored, and packed with gzip.
+    """
+    members = zip_members(source, length)
+    archives = {n.rpartition("/")[2]: m for n, m in members.items() if n.startswith("archive/") and not n.endswith("/")}
+    indexes = {n: m for n, m in members.items() if n.startswith("indexes/") and "cdx" in n.rpartition("/")[2]}
+    if not archives or not indexes:
+        raise ValueError("a package needs an archive and an index")
+    if any(m[2] for m in (*archives.values(), *indexes.values())):
+        raise ValueError("only stored members can be read by range")
+    out = []
+    for name, (at, size, _) in sorted(indexes.items()):
+        data = _range(source, at, size)
+        for x in index_lines(gzip.decompress(data) if name.endswith(".gz") else data):
+            file = str(x.get("filename", "")).rpartition("/")[2]
+            if file not in archives and (file or len(archives) > 1):
+                raise ValueError(f"the index names {file or 'no archive'}")
+            begin, _, _ = archives[file] if file else next(iter(archives.values()))
+            out.append((begin + int(x["offset"]), int(x["length"])))
+    return out
+
+
 def _indexer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 
@@ -200,25 +238,25 @@ def _indexer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file in batch.column(0).to_pylist():
             system, path = fs.FileSystem.from_uri(file)
             with system.open_input_file(path) as source:
-                members = zip_members(source, source.size())
-                if members[ARCHIVE][2] or members[INDEX][2]:
-                    raise ValueError("only stored members can be read by range")
-                at, size, _ = members[INDEX]
-                lines = [json.loads(x) for x in _range(source, at, size).splitlines()]
-            for k in range(0, len(lines), 50_000):
-                some = lines[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(some)), pa.array([members[ARCHIVE][0] + x["offset"] for x in some], pa.int64()), pa.array([x["length"] for x in some], pa.int64())], ["file", "at", "length"])
+                ranges = package_ranges(source, source.size())
+            for k in range(0, len(ranges), 50_000):
+                some = ranges[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(some)), pa.array([a for a, _ in some], pa.int64()), pa.array([n for _, n in some], pa.int64())], ["file", "at", "length"])
+
 
+def _sound(digest: str | None, payload: bytes) -> bool:
+    """Does the payload fit its SHA-1, in hexadecimal or base 32? Other digests aren't checked."""
+    kind, _, value = (digest or "").partition(":")
+    found = hashlib.sha1(payload).digest()
+    return kind.lower() != "sha1" or value.lower() == found.hex() or value.upper() == base64.b32encode(found).decode()
 
-RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
+
+RECORD = "record_id string, type string, url string, digest string, refers_to string, payload binary"
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 
-    def page(x: str | None) -> int | None:
-        return None if x is None or "null" in x else int(x[len("<urn:page:") : -1])
-
     file, source = None, None
     for batch in batches:
         rows, out, k = batch.to_pylist(), [], 0
@@ -227,29 +265,42 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while e < len(rows) and rows[e]["file"] == first["file"] and rows[e]["at"] == rows[e - 1]["at"] + rows[e - 1]["length"] and rows[e]["at"] - first["at"] < 4 << 20:
                 e += 1
             if first["file"] != file:
+                if source is not None:
+                    source.close()
                 system, path = fs.FileSystem.from_uri(first["file"])
                 file, source = first["file"], system.open_input_file(path)
             data = _range(source, first["at"], rows[e - 1]["at"] + rows[e - 1]["length"] - first["at"])
             for r in rows[k:e]:
-                head, payload = parse(zlib.decompress(data[r["at"] - first["at"] : r["at"] - first["at"] + r["length"]], wbits=31))
-                digest, kind = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"]
-                if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
-                    raise ValueError(f"payload of {head['warc-record-id']} isn't what it was")
-                full = kind == "response"
-                out.append((page(head["warc-record-id"]), head.get("warc-target-uri"), len(payload) if full else None, digest, kind, page(head.get("warc-refers-to")), payload.decode() if full else None))
+                one = data[r["at"] - first["at"] : r["at"] - first["at"] + r["length"]]
+                head, payload = parse(zlib.decompress(one, wbits=31) if one[:2] == b"\x1f\x8b" else one)
+                full = head["warc-type"] != "revisit"
+                if full and not _sound(head.get("warc-payload-digest"), payload):
+                    raise ValueError(f"payload of {head.get('warc-record-id')} isn't what it was")
+                out.append((head.get("warc-record-id"), head["warc-type"], head.get("warc-target-uri"), head.get("warc-payload-digest"), head.get("warc-refers-to"), payload if full else None))
             k = e
-        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"]
-        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], names)
+        names = ["record_id", "type", "url", "digest", "refers_to", "payload"]
+        types = [pa.string()] * 5 + [pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], names)
+    if source is not None:
+        source.close()
 
 
-def read_packages(manifest: DataFrame) -> DataFrame:
-    """All records; a revisit's payload isn't in it, so its size and html are null."""
-    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = manifest.select("file").mapInArrow(_indexer, "file string, at long, length long")
+def read_records(packages: DataFrame) -> DataFrame:
+    """record_id, type, url, digest, refers_to, payload of all indexed records of packages (file), ours or others; a revisit has no payload."""
+    parts = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = packages.select("file").mapInArrow(_indexer, "file string, at long, length long")
     return ranges.repartitionByRange(parts, "file", "at").sortWithinPartitions("file", "at").mapInArrow(_reader, RECORD)
 
 
+def read_packages(manifest: DataFrame) -> DataFrame:
+    """The pages of our own packages: page_id, url, payload_bytes, payload_digest, record_type, refers_to, html; a revisit's size and html are null."""
+    page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    return read_records(manifest).select(
+        page("record_id").alias("page_id"), "url", F.octet_length("payload").cast("long").alias("payload_bytes"), F.regexp_extract("digest", "^sha1:(.*)$", 1).alias("payload_digest"),
+        F.col("type").alias("record_type"), page("refers_to").alias("refers_to"), F.decode("payload", "UTF-8").alias("html"),
+    )
+
+
 def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of each page, read back from its package.
 

@@ -1,6 +1,6 @@
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from moments.llm import decontam
 from tests.llm import common
@@ -31,16 +31,39 @@ def brute(docs, items):
     return sorted(out, key=repr)
 
 
+def brute_near(docs, items):
+    """Items per text of which the two rarest terms of a window stand at most 13 words apart."""
+    texts = [words(t) for _, t in docs]
+    used = Counter(w for t in texts for w in t)
+    pairs = defaultdict(set)
+    for item, text in items:
+        w = words(text)
+        for k in range(max(1, len(w) - 12) if w and item is not None else 0):
+            rare = sorted(set(w[k : k + 13]), key=lambda x: (used[x], x))[:2]
+            if len(rare) == 2 and used[rare[0]]:
+                pairs[tuple(sorted(rare))].add(item)
+    out = []
+    for (doc_id, _), t in zip(docs, texts, strict=True):
+        at = defaultdict(list)
+        for p, x in enumerate(t):
+            at[x].append(p)
+        found = {i for (a, b), own in pairs.items() if any(abs(p - q) <= 13 for p in at.get(a, ()) for q in at.get(b, ())) for i in own}
+        out.append((doc_id, len(found)))
+    return sorted(out, key=repr)
+
+
 LONG = " ".join(f"w{k}" for k in range(20))
 ITEMS = [(1, LONG), (2, "Short One"), (3, None), (4, ""), (5, "the"), (10, LONG + " tail"), (11, "the the the the the the the the the the the the the the"), (12, "école Été naïve"), (None, "end")]
 
 
 def test_equals_brute_force(spark):
-    extra = [(900, LONG.upper()), (901, "x " + LONG[:-4] + " y"), (902, "short one short ONE"), (903, "the " * 40), (904, LONG * 3), (905, "École été naïve école Été naïve"), (None, LONG), (906, " ".join(f"w{k}" for k in range(12)))]
+    extra = [(900, LONG.upper()), (901, "x " + LONG[:-4] + " y"), (902, "short one short ONE"), (903, "the " * 40), (904, LONG * 3), (905, "École été naïve école Été naïve"), (None, LONG), (906, " ".join(f"w{k}" for k in range(12))), (907, "w9 one word put in w8 w7"), (908, "w0 " + "x " * 20 + "w1")]
     docs = common.documents(spark).unionByName(spark.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = sorted((tuple(r) for r in decontam.contamination(spark, docs, items).collect()), key=repr)
-    assert got == brute([r[:2] for r in common.rows()] + extra, ITEMS)
+    rows = decontam.contamination(spark, docs, items).collect()
+    plain = [r[:2] for r in common.rows()] + extra
+    assert sorted((tuple(r)[:6] for r in rows), key=repr) == brute(plain, ITEMS)
+    assert sorted(((r.doc_id, r.n_near) for r in rows), key=repr) == brute_near(plain, ITEMS)
 
 
 def test_empty(spark):

@@ -58,11 +58,26 @@ def test_equals_brute_force(spark, length, gram, shard):
     assert got == brute([x[:2] for x in common.rows()] + extra, length)
 
 
-def test_long_texts_in_stretches(spark, monkeypatch):
+def test_long_texts_in_stretches(monkeypatch):
+    """A text beyond a piece gives the same windows and anchors, stretch by stretch."""
+    import pyarrow as pa
+
     rng = np.random.default_rng(0)
-    b = rng.integers(97, 123, 5000).astype(np.uint8)
-    whole = suffixes.anchors(b, np.array([0, 5000]))
-    assert whole[2].sum() == 5000 - 399
+    text = bytes(rng.integers(97, 123, 5000).astype(np.uint8)).decode()
+    batch = pa.RecordBatch.from_arrays([pa.array([text]), pa.array([1]), pa.array([2])], ["text", "dk", "dh"])
+
+    def windows():
+        out = {}
+        for b in suffixes._placer(400, 64)(iter([batch])):
+            for r in b.to_pylist():
+                out |= {r["lo"] + k: r["key"] for k in range(r["size"])}
+        return out
+
+    whole = windows()
+    assert sorted(whole) == list(range(5000 - 399))
+    monkeypatch.setattr(suffixes, "PIECE_BYTES", 700)
+    monkeypatch.setattr(suffixes, "SLICE_BYTES", 600)
+    assert windows() == whole
 
 
 def test_empty(spark):

@@ -44,3 +44,28 @@ def test_foreign_zip():
     assert raw.getvalue()[at : at + size] == b"hello" and method == 0
     with pytest.raises(ValueError):
         warc.zip_members(io.BytesIO(b"nothing"), 7)
+
+
+def test_packages_of_others(spark, tmp_path):
+    """Two archives, one of them not packed, CDXJ lines with keys, a packed index, base-32 digests and records that aren't responses."""
+    import base64
+    import gzip
+    import json
+
+    def rec(kind, rid, body, digest=None, http=True):
+        body = (b"HTTP/1.1 200 OK\r\n\r\n" + body) if http else body
+        head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{rid}>", f"Content-Type: {'application/http; msgtype=response' if http else 'application/warc-fields'}", f"Content-Length: {len(body)}"] + ([f"WARC-Payload-Digest: {digest}"] if digest else [])
+        return b"WARC/1.0\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    b32 = "sha1:" + base64.b32encode(hashlib.sha1(b"hello").digest()).decode()
+    packed = [gzip.compress(rec("warcinfo", "i", b"software: x\r\n", http=False)), gzip.compress(rec("response", "r", b"hello", b32))]
+    plain = rec("response", "p", b"other", "md5:zz")
+    with zipfile.ZipFile(tmp_path / "a.wacz", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("archive/one.warc.gz", b"".join(packed))
+        z.writestr("archive/two.warc", plain)
+        lines = ["!meta", f"com,a)/ 2024 {json.dumps({'filename': 'one.warc.gz', 'offset': '0', 'length': str(len(packed[0]))})}", f"com,a)/b 2024 {json.dumps({'filename': 'one.warc.gz', 'offset': str(len(packed[0])), 'length': str(len(packed[1]))})}"]
+        z.writestr("indexes/index.cdx.gz", gzip.compress("\n".join(lines).encode()))
+        z.writestr("indexes/more.cdxj", "com,a)/c 2024 " + json.dumps({"filename": "archive/two.warc", "offset": 0, "length": len(plain)}))
+    packages = spark.createDataFrame([(f"file://{tmp_path}/a.wacz",)], "file string")
+    got = {r.record_id: (r.type, bytes(r.payload)) for r in warc.read_records(packages).collect()}
+    assert got == {"<i>": ("warcinfo", b"software: x\r\n"), "<r>": ("response", b"hello"), "<p>": ("response", b"other")}
