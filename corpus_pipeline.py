@@ -7,12 +7,16 @@ next one. All but the last return the columns of ``documents``.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moments.llm import decontam, neardup, quality, secrets, words
+from moments.llm import decontam, neardup, quality, secrets, util, words
 from moments.llm.util import Scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects as poor or toxic go."""
+    """Documents that the classifier rejects as poor or toxic go.
+
+    It is fitted on the labelled documents among docs. A null text counts as empty; copies of a row stay or go together; a
+    score at the threshold stays; without labels all stay; an empty table stays empty.
+    """
     return quality.good_documents(spark, docs, quality.fit(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -39,7 +43,11 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover a twentieth or more go."""
+    """Documents of which benchmark windows cover a twentieth or more go.
+
+    A null or empty text has no windows and stays; rows of the same id and text stay or go together; rows of one id, or of
+    none, with other texts are judged by their own; without items all stay; an empty table stays empty.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     scratch = Scratch(spark, "decontamination-stage")
     matches, _ = decontam.find_tests(spark, docs, items)
@@ -51,12 +59,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are cut out of the texts; all documents stay."""
+    """Secrets are cut out of the texts; all documents stay. A null text stays null; copies of a row are cut alike; an empty table stays empty."""
     return secrets.redacted(spark, docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the ids in decimal, of every text."""
+    """doc_id, n_tokens and the ids in decimal, of every row; they are decoded, too, but the pieces aren't kept. A null or empty text has no tokens; an empty table gives no rows."""
     import public_tokenizers
 
     return words.bpe_roundtrip(spark, docs, public_tokenizers.path("word_bpe_49k.json"), digests=False).select("doc_id", "n_tokens", "ids")
@@ -75,8 +83,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's table. What a stage staged, and the table before it, go once its own table is written."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
+        begun = len(util.MADE)
         docs = scratch.write(stage(spark, docs, sf_dir), str(k))
+        util.release(spark, begun)
+        if k:
+            scratch.drop(str(k - 1))
     return docs
