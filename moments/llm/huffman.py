@@ -244,6 +244,20 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 STAGED = "part int, seq int, start long, doc_ids array<long>, n_tokens array<int>, ids binary, hist_ids array<int>, hist_counts array<long>"
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, pa.Array]]:
+    """Ids and texts of some batches at a time: pieces that come again in ``most`` bytes of text are looked up once."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(1).nbytes
+        if size >= most:
+            yield [i for b in held for i in b.column(0).to_pylist()], pa.concat_arrays([b.column(1) for b in held])
+            held, size = [], 0
+    if held:
+        yield [i for b in held for i in b.column(0).to_pylist()], pa.concat_arrays([b.column(1) for b in held])
+
+
 def _stage(path: str, end_id: int, wide: bool):
     kind = np.uint32 if wide else np.uint16
 
@@ -273,9 +287,9 @@ def _stage(path: str, end_id: int, wide: bool):
             return out
 
         end = np.array([end_id], np.uint32)
-        for batch in batches:
-            ids, at = batch.column(0).to_pylist(), 0
-            for texts in slices(batch.column(1), SLICE_BYTES):
+        for ids, held in _gathered(batches, SLICE_BYTES):
+            at = 0
+            for texts in slices(held, 2 * SLICE_BYTES):
                 flat, sizes = encoder.encode(texts)
                 ends = np.cumsum(sizes).tolist()
                 for doc_id, a, b in zip(ids[at : at + len(texts)], [0, *ends], ends, strict=False):
