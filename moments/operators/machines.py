@@ -473,18 +473,17 @@ def fused_signals(sounds: DataFrame, states: DataFrame, swings: DataFrame, key:
 def suffix_confirmations(samples: DataFrame, key: str, label: str) -> DataFrame:
     """label, total, confirmed of labelled clips (key, label, id, t, pose): whether a stroke is confirmed from any of its samples on. A clip is one group."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = list(zip(*(rows.sort_values(["t", "id"])[n].tolist() for n in POSE_COLUMNS), strict=True))
+    def run(rows: list[tuple]) -> list[tuple]:
         found = False
-        for start in range(len(x)):
+        for start in range(len(rows)):
             machine = Putt()
-            found = any(machine.observe(*s)[0] == "confirmedStroke" and machine.latch is not None for s in x[start:])
+            found = any(machine.observe(*r[3:])[0] == "confirmedStroke" and machine.latch is not None for r in rows[start:])
             if found:
                 break
-        return pd.DataFrame({"k": rows["k"].iloc[:1], "label": rows["label"].iloc[:1], "ok": [found]})
+        return [(rows[0][1], found)]
 
-    x = samples.select(F.col(key).alias("k"), F.col(label).alias("label"), "id", *POSE_COLUMNS)
-    clips = x.groupBy("k").applyInPandas(run, f"k {x.schema['k'].dataType.simpleString()}, label string, ok boolean")
+    x = samples.select(key, F.col(label).alias("label"), "id", *POSE_COLUMNS)
+    clips = by_group(x, [key], ["t", "id"], run, "label string, ok boolean")
     return clips.groupBy("label").agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("confirmed"))
 
 
