@@ -70,3 +70,69 @@ def test_sketches_merge_and_estimate():
     j = neardup.estimate(s[:1], s[1:2], np.array([len(a)]), np.array([len(b)]))[0]
     assert abs(j - 1500 / 2600) < 0.15
     assert (neardup.sketches(neardup.shingle_sets(pa.array(["x y z", "x y z"]), 3))[0] == neardup.sketches(neardup.shingle_sets(pa.array(["X\ty\nz"]), 3))[0]).all()
+
+
+def variants(n, seed=2):
+    """Sets that share most of one base, their nodes and their sketches."""
+    r = np.random.default_rng(seed)
+    base, sets = r.integers(0, 1 << 62, 300).astype(np.uint64), []
+    for _ in range(n):
+        s = base.copy()
+        s[r.permutation(300)[: r.integers(2, 60)]] = r.integers(0, 1 << 62, 1).astype(np.uint64) + np.uint64(len(sets))
+        sets.append(np.unique(s))
+    return sets, neardup._struct(*neardup._nodes(sets)), neardup.sketches(sets)
+
+
+def test_a_pair_leaves_one_of_its_buckets():
+    """Pairs of a large cluster share many buckets; they were sent from each, with both sets, to be confirmed."""
+    sets, node, regs = variants(60)
+    width, found, shared = neardup.band_width(0.8), [], set()
+    names = [(x["k1"], x["k2"]) for x in node.to_pylist()]
+    for band in range(neardup.M // width):
+        own = regs[:, band * width : (band + 1) * width]
+        for key in np.unique(own, axis=0):
+            i = np.flatnonzero((own == key).all(1))
+            if len(i) < 2:
+                continue
+            n, k = len(i), pa.array(i)
+            same = {c: pa.array([v] * n) for c, v in (("band", band), ("block", 0), ("lo", 0), ("hi", 0), ("is_head", False))}
+            out = neardup._crosser(0.6, width)(pa.table({**same, "node": node.take(k), "comp": node.take(k), "n": pa.array([len(sets[x]) for x in i]), "sketch": pa.array([regs[x].tobytes() for x in i])}))
+            found += [frozenset((x["k1"], x["k2"]) for x in row.values()) for row in out.to_pylist()]
+            shared |= {frozenset((names[x], names[y])) for x in i for y in i if x < y}
+    assert len(found) == len(set(found)) and set(found) <= shared
+    jaccard = lambda x, y: len(np.intersect1d(sets[x], sets[y])) / len(np.union1d(sets[x], sets[y]))
+    close = {p for x in range(60) for y in range(x) if (p := frozenset((names[x], names[y]))) in shared and jaccard(x, y) >= 0.8}
+    assert len(close) > 50 and close <= set(found)
+
+
+def test_reaches_is_the_estimate():
+    r = np.random.default_rng(3)
+    sets, _, regs = variants(80)
+    i, j = r.integers(0, 80, (2, 2000))
+    n = np.array([len(s) for s in sets])
+    got = neardup.reaches((regs[i] > regs[j]).sum(1), (regs[i] < regs[j]).sum(1), n[i], n[j], 0.7)
+    est = neardup.estimate(regs[i], regs[j], n[i], n[j])
+    assert got[est > 0.706].all() and not got[est < 0.694].any() and 0 < got.sum() < 2000
+
+
+def test_blocks_of_sets_confirm_as_brute_force(spark, monkeypatch):
+    """The same classes whether the sets are of one block or of many."""
+    monkeypatch.setattr(neardup, "SET_BYTES", 4000)
+    r = random.Random(8)
+    base, rows = [f"w{r.randrange(300)}" for _ in range(150)], []
+    for k in range(80):
+        t = list(base)
+        for _ in range(r.randint(0, 8)):
+            t[r.randrange(150)] = f"x{r.randrange(1000)}"
+        rows.append((k, " ".join(t)))
+    got = sorted(tuple(x) for x in neardup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect())
+    assert got == brute(rows, 3, 85)
+
+
+def test_a_worker_gets_some_bytes_at_a_time(spark):
+    from moments.llm import util
+
+    util.prepare(spark)
+    big = spark.range(60).selectExpr("id", "repeat('x', 1000000) as text").coalesce(1)
+    got = big.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()
+    assert max(x.n for x in got) <= util.BATCH_BYTES + 2_000_000
