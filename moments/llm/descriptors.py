@@ -5,8 +5,9 @@ intensity centroid, and 256 binary tests between points turned by it. The tests
 unlike each other (``train_tests``), and are in order of that; so the first words of a descriptor tell most.
 
 1. Tables of 32-bit words: corners meet that have one of the first ``TABLES`` words in common and differ in at most
-   ``TAIL_BITS`` of the 64 bits behind it. A bucket of up to ``WHOLE`` corners is compared wholly; in a larger one, of
-   a patch that many images have, each meets the ``NEXT`` that follow in order of those bits.
+   ``TAIL_BITS`` of the 64 bits behind it. In a bucket of over ``WHOLE`` corners, of a patch that many images have, those
+   meet that agree in two of the ten parts of these bits, as any do that differ in eight. One of over ``CUT`` is cut into
+   blocks, each pair of which meets on its own. So all that are to meet do.
 2. Pairs of images with three such corners at about the same turn get all their corners compared by Hamming distance.
 3. Two matches give a shift, turn and scale. A pair is linked if the best one has ``VOTES`` matches, at different places,
    and at least ``SHARE`` of the corners of the part that both images show.
@@ -37,7 +38,10 @@ LEAST_CELL, CELL = 8, 16
 LEAST_CORNER, EDGE_RATIO = 4.0, 0.06
 #: Larger images are halved until no side is longer.
 MOST_SIDE = 512
-TABLES, TAIL_BITS, WHOLE, NEXT = 5, 8, 256, 32
+#: NEXT: distances in a bucket that are met before what was found is handed on.
+TABLES, TAIL_BITS, WHOLE, NEXT, CUT = 5, 8, 256, 32, 1 << 17
+#: Two more parts of a tail than bits that may differ, so two are equal.
+PARTS = np.array([sum(1 << int(b) for b in bits) for bits in np.array_split(np.arange(64), TAIL_BITS + 2)], np.uint64)
 #: The two words behind a table's own: the best of the others.
 TAILS = [tuple(k for k in range(3) if k != t)[:2] for t in range(TABLES)]
 MOST_BITS, VOTES, SHARE, REACH, BEST = 56, 5, 0.3, 2.5, 120
@@ -225,8 +229,8 @@ def linked(found: tuple[int, float]) -> bool:
 
 #: node: 64 bits of the hash of the pixels and their shape, null without sound pixels.
 DESCRIBED = "row long, image_id long, node long, width int, height int, corners binary"
-#: mark: corner, turn and level in one number.
-POSTING = "key long, tail long, node long, mark long"
+#: mark: corner, turn and level in one number; above them the side of two blocks, if the bucket was cut.
+SIDE, POSTING = 56, "key long, tail long, node long, mark long"
 
 
 def _halved(image: np.ndarray) -> np.ndarray:
@@ -282,53 +286,90 @@ MET = "a long, b long, step long, ca long, cb long, x float, y float"
 
 
 def _meeter(whole: int, next_: int):
-    """Pairs of corners of different images in one bucket. Rows come sorted by key and tail."""
-
-    def meet(rows: list[np.ndarray]) -> pa.RecordBatch:
-        key, tail, image, mark = rows
-        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-        size = np.repeat(np.diff(np.append(new, len(key))), np.diff(np.append(new, len(key))))
-        out, at, lag = [], np.arange(len(key)), 1
-        while True:
-            at = at[at + lag < len(key)]
-            at = at[(key[at] == key[np.minimum(at + lag, len(key) - 1)]) & ((size[at] <= whole) | (lag <= next_))]
-            if not len(at):
-                break
+    """Pairs of corners of different images in one bucket, if it wasn't cut, or of two sides. Rows come sorted by key."""
+
+    def near(rows: list[np.ndarray], group: np.ndarray, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of one group; rows are of equal groups in that order."""
+        _, tail, image, mark = (r[order] for r in rows)
+        group, side = group[order], mark >> SIDE
+        out, at, lag = [], np.arange(len(group)), 1
+        while len(at):
+            at = at[at + lag < len(group)]
+            at = at[group[at] == group[at + lag]]
             to = at + lag
-            ok = (image[at] != image[to]) & (np.bitwise_count((tail[at] ^ tail[to]).view(np.uint64)) <= TAIL_BITS)
-            out.append((at[ok], to[ok]))
+            ok = np.bitwise_count((tail[at] ^ tail[to]).view(np.uint64)) <= TAIL_BITS
+            i, j = at[ok], to[ok]
+            ok = (image[i] != image[j]) & ((side[i] == 0) | (side[i] != side[j]))
+            out.append((order[i[ok]], order[j[ok]]))
+            if lag % next_ == 0 or not len(at):
+                yield tuple(np.concatenate([x[k] for x in out]) for k in (0, 1))
+                out = []
             lag += 1
-        i, j = (np.concatenate([x[k] for x in out]) if out else np.empty(0, np.int64) for k in (0, 1))
+
+    def meet(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key = rows[0]
+        edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        large = np.diff(edges) > whole
+        for found in near(rows, key, np.flatnonzero(np.repeat(~large, np.diff(edges)))):
+            yield named(rows, *found)
+        for a, b in zip(edges[:-1][large].tolist(), edges[1:][large].tolist(), strict=True):
+            one = [r[a:b] for r in rows]
+            tail = one[1].view(np.uint64)
+            for q in range(len(PARTS)):
+                for p in range(q):
+                    group = tail & (PARTS[p] | PARTS[q])
+                    for i, j in near(one, group, np.argsort(group, kind="stable")):
+                        # only where these are the first two parts that agree
+                        apart = tail[i] ^ tail[j]
+                        ok = np.ones(len(i), bool)
+                        for other in range(q):
+                            ok &= (other == p) | (apart & PARTS[other] != 0)
+                        if ok.any():
+                            yield named(one, i[ok], j[ok])
+
+    def named(rows: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        _, _, image, mark = rows
         swap = image[i] > image[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        m, n = mark[i], mark[j]
+        m, n = mark[i] & (1 << SIDE) - 1, mark[j] & (1 << SIDE) - 1
         turn = 2 * np.pi / TURNS * ((n >> 8 & 255) - (m >> 8 & 255))
         columns = [pa.array(x) for x in (image[i], image[j], (n & 255) - (m & 255), np.int64(1) << (m >> 16) % 63, np.int64(1) << (n >> 16) % 63)]
         return pa.RecordBatch.from_arrays([*columns, pa.array(np.cos(turn).astype(np.float32)), pa.array(np.sin(turn).astype(np.float32))], ["a", "b", "step", "ca", "cb", "x", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None
+        kept: list[list[np.ndarray]] = []
+        held = 0
         for batch in batches:
-            rows = [c.to_numpy() for c in batch.columns]
-            if kept is not None:
-                rows = [np.concatenate([a, b]) for a, b in zip(kept, rows, strict=True)]
-            # The last bucket may go on. A long one is met as far as it came, but for the rows that still have some to meet.
-            start = int(np.searchsorted(rows[0], rows[0][-1]))
-            if len(rows[0]) - start > 50 * whole:
-                yield meet(rows)
-                kept = None
-                rest = [r[-next_:] for r in rows]
-                kept = rest
+            if not batch.num_rows:
                 continue
-            if start:
-                yield meet([r[:start] for r in rows])
-            kept = [r[start:] for r in rows]
-        if kept is not None:
-            yield meet(kept)
+            kept.append([c.to_numpy() for c in batch.columns])
+            held += batch.num_rows
+            # The last bucket may go on; it has about two blocks at most.
+            if kept[-1][0][-1] != kept[0][0][0] and held >= 16 * whole:
+                rows = [np.concatenate(c) for c in zip(*kept, strict=True)]
+                start = held - int(np.argmax(rows[0][::-1] != rows[0][-1]))
+                yield from meet([r[:start] for r in rows])
+                kept, held = [[r[start:] for r in rows]], held - start
+        if kept:
+            yield from meet([np.concatenate(c) for c in zip(*kept, strict=True)])
 
     return run
 
 
+def _dealt(scratch: Scratch, described: DataFrame, most: int) -> DataFrame:
+    """Postings under the key of their bucket or, where it has over ``most``, of each pair of its blocks that they are in."""
+    posted = described.select("node", "corners").mapInArrow(_poster, POSTING)
+    large = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most)
+    large = scratch.write(large.select("key", F.ceil(F.col("size") / most).cast("int").alias("blocks")), "large")
+    cut = posted.join(large, "key", "left")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    others = F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spread = cut.select("key", "tail", "node", "mark", block.alias("block"), F.explode(others).alias("other"))
+    key = F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+    side = F.when((F.col("other") < 0) | (F.col("block") == F.col("other")), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("long")
+    return spread.select(key.alias("key"), "tail", "node", F.col("mark").bitwiseOR(F.shiftleft(side, SIDE)).alias("mark"))
+
+
 def _linker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         got: list[tuple[int, int]] = []
@@ -339,11 +380,9 @@ def _linker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def candidate_pairs(scratch: Scratch, described: DataFrame, whole: int = WHOLE, next_: int = NEXT) -> DataFrame:
+def candidate_pairs(scratch: Scratch, described: DataFrame, whole: int = WHOLE, next_: int = NEXT, cut: int = CUT) -> DataFrame:
     """a < b of images with three corners, each of its own, that meet as many levels apart and mostly at about one turn."""
-    posted = described.select("node", "corners").mapInArrow(_poster, POSTING)
-    # by range, so that a bucket with a large share of all corners is spread over tasks
-    met = posted.repartitionByRange("key", "tail", "node").sortWithinPartitions("key", "tail", "node").mapInArrow(trimmed(_meeter(whole, next_)), MET)
+    met = _dealt(scratch, described, cut).repartition("key").sortWithinPartitions("key", "tail", "node").mapInArrow(trimmed(_meeter(whole, next_)), MET)
     one = lambda n: F.bit_count(F.bit_or(n))
     votes = met.groupBy("a", "b", "step").agg(one("ca").alias("na"), one("cb").alias("nb"), (F.hypot(F.sum("x"), F.sum("y")) / F.count(F.lit(1))).alias("agree"))
     return scratch.write(votes.where("na >= 3 and nb >= 3 and agree >= 0.6").select("a", "b").distinct(), "candidates")
