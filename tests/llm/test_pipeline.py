@@ -1,5 +1,6 @@
 """Each stage against a plain version of it, on rows of every kind."""
 
+import random
 import re
 from collections import Counter
 
@@ -7,7 +8,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from moments.llm import quality
+from moments.llm import neardup, quality
+from moments.llm.util import Scratch
 from tests.llm import common
 from tests.llm.test_decontam import brute as brute_windows
 from tests.llm.test_secrets import TEXTS, base
@@ -78,6 +80,30 @@ def test_neardup_stage_equals_all_pairs(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.neardup_stage(spark, docs, D).collect()) == want
 
 
+def test_neardup_stage_with_sets_in_blocks_equals_all_pairs(spark, monkeypatch):
+    """Variants of one text, all near the threshold to each other: sets go out in blocks, each pair once, and the rows that stay are those of brute force."""
+    monkeypatch.setattr(neardup, "SET_BYTES", 20_000)
+    made, write = {}, Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name, *p: made.setdefault(name, write(self, df, name, *p)))
+    r = random.Random(4)
+    base, rows = [f"w{k}" for k in range(200)], []
+    for k in range(60):
+        t = list(base)
+        for _ in range(r.randint(2, 9)):
+            t[r.randrange(200)] = f"x{k}y{r.randrange(1000)}"
+        rows.append((k, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, head = [shingles(t) for _, t in rows], list(range(60))
+    for _ in range(60):  # the least id reached
+        for i in range(60):
+            for j in range(60):
+                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    head[i] = min(head[i], head[j])
+    assert {x.doc_id for x in corpus_pipeline.neardup_stage(spark, docs, "").collect()} == {k for k in range(60) if head[k] == k}
+    crossed = [tuple(sorted([tuple(x.a), tuple(x.b)])) for x in made["crossed"].collect()]
+    assert len(crossed) == len(set(crossed))
+
+
 def test_decontamination_stage_drops_what_windows_cover(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet").unionByName(common.documents(spark).select("doc_id", "text", "lang", "source", "n_chars"))
     items = [tuple(r) for r in spark.read.parquet(f"{D}/benchmark.parquet").select("item_id", "text").collect()]
