@@ -39,6 +39,9 @@ BLOCK_BYTES = 24_000_000
 ENCODE_WORDS, PACK_NUMBERS = 4096, 1 << 19
 #: Words of documents that are put together at a time.
 JOIN_WORDS = 400_000
+#: Buckets of words, at most, as every block has a row for each: with more of both the rows would grow as the square of the
+#: input. Words of one bucket that are remembered, at most but for those of its last block.
+MOST_BUCKETS, KNOWN_WORDS = 256, 300_000
 
 
 class Codes(dict):
@@ -196,8 +199,9 @@ def pieces(path: str) -> pa.Array:
     return pa.array([table.get(i, "") for i in range(max(table) + 1)])
 
 
-def _encoder(path: str):
-    """Rows come sorted by bucket, so what is remembered is one bucket's distinct words, each encoded once."""
+def _encoder(path: str, most: int = KNOWN_WORDS):
+    """Rows come sorted by bucket, so what is remembered is one bucket's distinct words, each encoded once; of a bucket of
+    over ``most`` they are forgotten then, and words that come again are encoded again."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load_tokenizer(path)
@@ -205,7 +209,7 @@ def _encoder(path: str):
         current = None
         for batch in batches:
             for block, bucket, blob, file in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if bucket != current:
+                if bucket != current or len(known) > most:
                     known, current = {}, bucket
                 words = _unsqueeze(blob).decode().split("\n")
                 new = list(set(words).difference(known))
@@ -302,10 +306,10 @@ def bpe_roundtrip(spark: SparkSession, docs: DataFrame, tokenizer_path: str, dig
     ids included: ``doc_id, n_tokens`` and, with ``digests``, ``ids_sha256, decoded_sha256``, else ``ids`` (decimal,
     separated by a space) and ``decoded``. A null or empty text has no tokens; a null id stays null; an empty table
     gives an empty result. A text larger than a block is a block of its own. ``buckets`` of words: as many as shuffle
-    partitions, unless given; it should grow with the vocabulary.
+    partitions, but ``MOST_BUCKETS`` at most, unless given.
     """
     scratch = Scratch(spark, "words")
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
     texts = pick(docs, F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     split = scratch.write(texts.mapInArrow(trimmed(_splitter(scratch.path("codes"), buckets)), SPLIT_SCHEMA), "split")
     lists = split.select("block", "bucket", "words", "file").repartition("bucket").sortWithinPartitions("bucket", "block")

@@ -32,6 +32,28 @@ def test_bpe_texts_and_empty_table(spark):
     assert words.bpe_roundtrip(spark, common.empty(spark), WORD).count() == 0
 
 
+def test_bpe_rows_of_a_block_are_bounded(spark, monkeypatch):
+    """Blocks times buckets: with as many buckets as partitions, both of which grow with the input, rows grow as its square."""
+    rows = {}
+    write = words.Scratch.write
+    monkeypatch.setattr(words.Scratch, "write", lambda self, df, name, *by: rows.setdefault(name, write(self, df, name, *by)))
+    docs = spark.createDataFrame([(0, " ".join(f"w{k}" for k in range(5000)))], "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1000)
+    try:
+        words.bpe_roundtrip(spark, docs, WORD)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert rows["split"].count() <= words.MOST_BUCKETS
+
+
+def test_bpe_words_forgotten_are_encoded_again():
+    lists = [["the", "ends"], ["ends", "of"], ["the"]]
+    rows = pa.RecordBatch.from_pydict({"block": [0, 1, 2], "bucket": [0, 0, 0], "words": [words._sized("\n".join(x).encode()) for x in lists], "file": ["f"] * 3})
+    got = [pa.Table.from_batches(words._encoder(WORD, most)(iter([rows]))) for most in (0, 1 << 30)]
+    assert got[0].equals(got[1]) and got[0].num_rows == 3
+
+
 @given(st.lists(st.integers(0, 1 << 62)))
 def test_pack(numbers):
     assert words.unpack(words.pack(np.array(numbers, np.uint64))).tolist() == numbers
