@@ -130,9 +130,10 @@ def _splitter(base: str, buckets: int):
 
         def flush() -> pa.RecordBatch:
             nonlocal made, ids, counts, parts, size
-            coded = pa.concat_arrays(parts).dictionary_encode()
+            coded = pa.chunked_array(parts, pa.string()).dictionary_encode().chunks  # all of one dictionary
             parts = []
-            flat, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
+            flat, words = np.concatenate([c.indices.to_numpy() for c in coded]), coded[0].dictionary.to_numpy(zero_copy_only=False)
+            del coded
             often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
             rank = np.empty(len(often), np.int32)
             rank[often] = np.arange(len(often))
@@ -208,13 +209,14 @@ def _encoder(path: str, most: int = KNOWN_WORDS):
         known: dict[str, bytes] = {}
         current = None
         for batch in batches:
-            for block, bucket, blob, file in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for k in range(batch.num_rows):
+                block, bucket, blob, file = (batch.column(c)[k].as_py() for c in range(4))
                 if bucket != current or len(known) > most:
                     known, current = {}, bucket
                 words = _unsqueeze(blob).decode().split("\n")
                 new = list(set(words).difference(known))
-                for k in range(0, len(new), ENCODE_WORDS):
-                    some = new[k : k + ENCODE_WORDS]
+                for at in range(0, len(new), ENCODE_WORDS):
+                    some = new[at : at + ENCODE_WORDS]
                     known.update(zip(some, [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(some, add_special_tokens=False)], strict=True))
                 got = [known[w] for w in words]
                 sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
@@ -237,7 +239,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """The rows of each block; they come sorted by block and bucket."""
     rows: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
             if rows and row["block"] != rows[0]["block"]:
                 yield rows
                 rows = []

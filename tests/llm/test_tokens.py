@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from moments.llm import huffman, words
+from moments.llm import huffman, neardup, util, words
 from tests.llm import common
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -54,6 +54,19 @@ def test_bpe_words_forgotten_are_encoded_again():
     assert got[0].equals(got[1]) and got[0].num_rows == 3
 
 
+def test_workers_trim_before_and_after(monkeypatch):
+    """A worker that was left full by a function over groups, which doesn't see its task's end, is trimmed before it holds more."""
+    seen = []
+    monkeypatch.setattr(util, "trim", lambda: seen.append("trim"))
+    assert list(util.trimmed(lambda batches: (seen.append(b) or b for b in batches))(iter(["a", "b"]))) == ["a", "b"]
+    assert seen == ["trim", "a", "b", "trim"]
+    node = pa.array([{"k1": 1, "k2": 1}, {"k1": 2, "k2": 2}])
+    elements = pa.array([np.arange(100_000, dtype=">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()] * 2)
+    pairs = pa.table({"a": node.slice(0, 1), "b": node.slice(1, 1)})
+    assert neardup._confirmer(80)(pairs, pa.table({"node": node, "elements": elements})).num_rows == 1
+    assert len(seen) == 5
+
+
 @given(st.lists(st.integers(0, 1 << 62)))
 def test_pack(numbers):
     assert words.unpack(words.pack(np.array(numbers, np.uint64))).tolist() == numbers
