@@ -43,18 +43,23 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover a twentieth or more go.
+    """Documents with 13 words in a row of a benchmark item go, and those of which items of fewer words cover a twentieth or more.
 
-    A null or empty text has no windows and stays; rows of the same id and text stay or go together; rows of one id, or of
-    none, with other texts are judged by their own; without items all stay; an empty table stays empty.
+    However long a text is, a passage of an item in it is a leak; the words of a shorter item (an answer, a name) stand in
+    texts anyway, so those go by their share. A null or empty text has no windows and stays; rows of the same id and text
+    stay or go together; rows of one id, or of none, with other texts are judged by their own; without items all stay; an
+    empty table stays empty.
     """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     scratch = Scratch(spark, "decontamination-stage")
     matches, _ = decontam.find_tests(spark, docs, items)
+    passages = matches.where(F.col("size") == decontam.WINDOW).select(F.col("dk").alias("_k"), F.col("dh").alias("_h")).distinct()
+    matches = matches.join(passages, (F.col("dk") == F.col("_k")) & (F.col("dh") == F.col("_h")), "left_anti")
     hit = matches.select("dk", "dh", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("p")).distinct().groupBy("dk", "dh").agg(F.count(F.lit(1)).alias("n_hit"))
     touched = _by_key(docs, hit.select(F.col("dk").alias("_k"), F.col("dh").alias("_h")), "left_semi")
     n_words = decontam.keyed(touched).select("dk", "dh", F.size(decontam.words_of(F.col("text"))).alias("n_words")).distinct()
-    bad = scratch.write(hit.join(n_words, ["dk", "dh"]).where("20 * n_hit >= n_words").select(F.col("dk").alias("_k"), F.col("dh").alias("_h")), "bad")
+    covered = hit.join(n_words, ["dk", "dh"]).where("20 * n_hit >= n_words").select(F.col("dk").alias("_k"), F.col("dh").alias("_h"))
+    bad = scratch.write(passages.unionByName(covered), "bad")
     return _by_key(docs, bad, "left_anti")
 
 

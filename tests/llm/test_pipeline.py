@@ -114,6 +114,28 @@ def test_decontamination_stage_drops_what_windows_cover(spark):
     assert bad and got.columns == docs.columns and bag(got) == want
 
 
+def test_decontamination_stage_drops_passages_in_long_texts(spark, tmp_path):
+    """A passage of 13 words goes at any length of text; the words of a shorter item only where they are a twentieth."""
+    item, answer = [f"q{k}" for k in range(18)], "one short answer"
+    spark.createDataFrame([(0, " ".join(item)), (1, answer), (None, " ".join(f"n{k}" for k in range(13)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    filler = [f"w{k}" for k in range(600)]
+
+    def inside(words):
+        return " ".join(filler[:300] + words + filler[300:])
+
+    gone = [
+        (1, inside(item), "x"), (1, inside(item), "x"), (None, inside(item[2:15]), "x"), (2, inside([f"N{k}," for k in range(13)]), "x"),
+        (3, " ".join([answer, *filler[:57]]), "x"), (4, inside([*answer.split(), *item]), "x"),
+    ]
+    kept = [
+        (1, inside(item[:12]), "x"), (5, inside(answer.split()), "x"), (6, " ".join([answer, *filler[:58]]), "x"), (None, inside([]), "x"), (None, None, "e"), (7, "", "e"),
+        (8, inside([*item[:6], "between", *item[6:]]), "x"),
+    ]
+    docs = spark.createDataFrame(gone + kept, "doc_id long, text string, source string")
+    assert bag(corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))) == Counter(kept)
+    assert corpus_pipeline.decontamination_stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_secrets_stage_leaves_no_base_secret(spark):
     rows = [(k, t, "s") for k, t in enumerate(TEXTS)] + [(r[0], r[1], "c") for r in common.rows()] + [(None, "token=abcdefgh", "n"), (1, None, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
