@@ -36,7 +36,11 @@ STEP = 256
 LIMIT = 18
 MEMORY_PIECES = 1_300_000
 SLICE_BYTES = 20_000_000
+#: Words that the library gets in one text.
+LINE_WORDS = 200
 
+#: The letter that byte-level pieces have for a space.
+SPACE = "\u0120"
 #: A word, and marks after it, at which every token ends.
 _MARKS_SPACE = "([a-z])([.,!?;:]+) "
 _WORD_MARKS = re.compile(r"(\n{0,2}[^\W\d_]+)([^\w\s]+)")
@@ -152,7 +156,11 @@ class PieceEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.line_break = self.tok.encode("\n", add_special_tokens=False).ids[0]
+        if hasattr(self.tok.model, "_resize_cache"):  # each piece is encoded once, so the library need not remember any
+            self.tok.model._resize_cache(0)
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for p, i in vocabulary.items() if p[:1] == SPACE]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -184,12 +192,14 @@ class PieceEncoder:
                     whole.append(q if first or q[:1] == "\n" else " " + q)
                 elif p != "\n\n":
                     self.bad[k] = True
-            if plain:  # many in one text, each on its own line: a line break before a space is always a token of its own
+            if plain:  # many in one text: of a word and the space before it, only the first token begins with a space
                 words = new if len(plain) == len(new) else [new[k - self.done] for k in plain]
-                lines = [" " + "\n ".join(words[k : k + 1000]) + "\n" for k in range(0, len(words), 1000)]
+                lines = [" " + " ".join(words[k : k + LINE_WORDS]) for k in range(0, len(words), LINE_WORDS)]
                 flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(lines, add_special_tokens=False)])
-                breaks = np.flatnonzero(flat == self.line_break)
-                self._add(plain, np.delete(flat, breaks), np.diff(breaks, prepend=-1) - 1)
+                firsts = np.flatnonzero(self.opens[flat])
+                if len(firsts) != len(plain):
+                    raise ValueError("not a byte-level tokenizer")
+                self._add(plain, flat, np.diff(firsts, append=len(flat)))
             self.done = n
             if whole:
                 got = [e.ids for e in self.tok.encode_batch_fast(whole, add_special_tokens=False)]

@@ -81,6 +81,28 @@ def test_pieces_equal_library(text):
     assert flat.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
 
 
+def test_words_go_to_the_library_without_separators():
+    """Distinct words of any script go many in a text, with no tokens between them but their own, and come back equal."""
+    enc, asked = huffman.PieceEncoder(BYTE), []
+    tok = enc.tok
+
+    class Spy:
+        def encode_batch_fast(self, texts, **k):
+            asked.extend(zip(texts, out := tok.encode_batch_fast(texts, **k), strict=True))
+            return out
+
+    enc.tok = Spy()
+    letters = "abcXYZ\u00e9\u00df\u00c4\u00f1\u03a3\u0434\u05d0\u0e01\u65e5\U00020000"
+    distinct = [a + b + c for a in letters for b in letters for c in letters]
+    texts = ["", *(" ".join(["first", *distinct[k : k + 700]]) for k in range(0, len(distinct), 650))]
+    flat, sizes = enc.encode(pa.array(texts))
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert flat.tolist() == [i for ids in want for i in ids] and sizes.tolist() == [len(x) for x in want]
+    lines = [(t.split(), len(e.ids)) for t, e in asked if len(t.split()) > 1]
+    assert sorted(w for t, _ in lines for w in t) == sorted(distinct)
+    assert all(n == sum(len(tok.encode(" " + w, add_special_tokens=False).ids) for w in t) for t, n in lines)
+
+
 def test_token_files_equal_library(spark):
     tok, start, want = Tokenizer.from_file(BYTE), 0, []
     rows = common.documents(spark).selectExpr("doc_id", "xxhash64(coalesce(text, '')) h", "coalesce(text, '') text").collect()
