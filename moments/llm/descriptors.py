@@ -9,6 +9,8 @@ unlike each other (``train_tests``), and are in order of that; so the first word
    meet that agree in two of the ten parts of these bits, as any do that differ in eight. One of over ``CUT`` is cut into
    blocks, each pair of which meets on its own. So all that are to meet do.
 2. Pairs of images with three such corners at about the same turn get all their corners compared by Hamming distance.
+   Most pairs that meet do so by one corner, so what is shuffled of a meeting is a few bytes: images go by numbers without
+   gaps, and votes sorted, as differences, and compressed (``_packed``).
 3. Two matches give a shift, turn and scale. A pair is linked if the best one has ``VOTES`` matches, at different places,
    and at least ``SHARE`` of the corners of the part that both images show.
 
@@ -281,12 +283,11 @@ def _describer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(node, pa.int64()), *size, pa.array([c[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names)
 
 
-#: step: levels between the two; ca and cb: one bit for each corner; x and y: the turn from one to the other.
-MET = "a long, b long, step long, ca long, cb long, x float, y float"
-
-
 def _meeter(whole: int, next_: int):
-    """Pairs of corners of different images in one bucket, if it wasn't cut, or of two sides. Rows come sorted by key."""
+    """Pairs of corners of different images in one bucket, if it wasn't cut, or of two sides. Rows come sorted by key.
+
+    step: levels from a's to b's; ca and cb: the corners' numbers; turn: from a's to b's.
+    """
 
     def near(rows: list[np.ndarray], group: np.ndarray, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of one group; rows are of equal groups in that order."""
@@ -332,9 +333,8 @@ def _meeter(whole: int, next_: int):
         swap = image[i] > image[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         m, n = mark[i] & (1 << SIDE) - 1, mark[j] & (1 << SIDE) - 1
-        turn = 2 * np.pi / TURNS * ((n >> 8 & 255) - (m >> 8 & 255))
-        columns = [pa.array(x) for x in (image[i], image[j], (n & 255) - (m & 255), np.int64(1) << (m >> 16) % 63, np.int64(1) << (n >> 16) % 63)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(np.cos(turn).astype(np.float32)), pa.array(np.sin(turn).astype(np.float32))], ["a", "b", "step", "ca", "cb", "x", "y"])
+        columns = (image[i], image[j], (n & 255) - (m & 255), (m >> 16) % 63, (n >> 16) % 63, ((n >> 8 & 255) - (m >> 8 & 255)) % TURNS)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b", "step", "ca", "cb", "turn"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[np.ndarray]] = []
@@ -356,6 +356,113 @@ def _meeter(whole: int, next_: int):
     return run
 
 
+#: A vote is one number: above VOTE_BITS the pair of images, numbered within its part of the pairs, then step, ca, cb and turn.
+VOTE_BITS, PACKED = 23, "part int, n int, votes binary"
+#: Votes that a task packs, or counts, at a time, about; images with whose votes a part begins, and parts, at most but for
+#: what the pair's bits ask for.
+MOST_VOTES, PART_IMAGES, MOST_PARTS = 1 << 21, 256, 4096
+
+
+def _parts(images: int) -> int:
+    return max(min(images // PART_IMAGES + 1, MOST_PARTS), (images * images >> 40) + 1)
+
+
+def _packed(votes: np.ndarray) -> bytes:
+    """Sorted votes: differences of pairs and what is below them, by the byte's place, so that even ones stand together."""
+    pair = votes >> np.uint64(VOTE_BITS)
+    step = np.diff(pair, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    rest = (votes & np.uint64((1 << VOTE_BITS) - 1)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    return pa.compress(step.T.tobytes() + rest.T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(n: int, blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, 11 * n, "zstd", asbytes=True), np.uint8).reshape(11, n)
+    pair = np.cumsum(np.ascontiguousarray(planes[:8].T).view("<u8")[:, 0], dtype=np.uint64)
+    rest = np.zeros((n, 4), np.uint8)
+    rest[:, :3] = planes[8:].T
+    return pair << np.uint64(VOTE_BITS) | rest.view("<u4")[:, 0]
+
+
+def _packer(meet, images: int, parts: int):
+    """What ``meet`` finds, of images numbered from 0, by parts of the pairs. A pair is of one part."""
+
+    def flush(part: np.ndarray, votes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(part, kind="stable")
+        part, votes = part[order], votes[order]
+        starts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), pa.array([b - a], pa.int32()), pa.array([_packed(np.sort(votes[a:b]))], pa.binary())], ["part", "n", "votes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        for found in meet(batches):
+            a, b, step, ca, cb, turn = (c.to_numpy() for c in found.columns)
+            low = (step + 16) << 18 | ca << 12 | cb << 6 | turn
+            kept.append(((a % parts).astype(np.int32), ((a // parts * images + b) << VOTE_BITS | low).view(np.uint64)))
+            held += len(a)
+            if held >= MOST_VOTES:
+                yield from flush(*map(np.concatenate, zip(*kept, strict=True)))
+                kept, held = [], 0
+        if held:
+            yield from flush(*map(np.concatenate, zip(*kept, strict=True)))
+
+    return run
+
+
+def _teller(images: int, parts: int):
+    """a < b of images with three corners, each of its own, as many levels apart and mostly at about one turn. Rows come sorted by part."""
+    way = np.exp(2j * np.pi / TURNS * np.arange(TURNS))
+
+    def counted(votes: np.ndarray) -> np.ndarray:
+        """Pairs that have what it takes."""
+        votes.sort()
+        group = votes >> np.uint64(VOTE_BITS - 5)
+        starts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1])
+        size = np.diff(starts, append=len(group))
+        votes, size = votes[np.repeat(size >= 3, size)], size[size >= 3]
+        if not len(size):
+            return votes
+        starts = np.cumsum(size) - size
+        ok = np.abs(np.add.reduceat(way[votes & np.uint64(63)], starts)) >= (0.6 - 1e-9) * size
+        for at in (12, 6):
+            ok &= np.bitwise_count(np.bitwise_or.reduceat(np.uint64(1) << (votes >> np.uint64(at) & np.uint64(63)), starts)) >= 3
+        return np.unique(votes[starts[ok]] >> np.uint64(VOTE_BITS))
+
+    def told(part: int, blobs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        turns = np.uint64(sum(n for n, _ in blobs) // MOST_VOTES + 1)
+        for turn in range(int(turns)):
+            votes = [_unpacked(*blob) for blob in blobs] if turns == 1 else [v[(v >> np.uint64(VOTE_BITS)) % turns == turn] for v in (_unpacked(*blob) for blob in blobs)]
+            votes = np.concatenate(votes)
+            pair = (counted(votes) if len(votes) else votes).astype(np.int64)
+            if len(pair):
+                yield pa.RecordBatch.from_arrays([pa.array(pair // images * parts + part), pa.array(pair % images)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blobs = None, []
+        for batch in batches:
+            for part, n, votes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now and blobs:
+                    yield from told(now, blobs)
+                    blobs = []
+                now = part
+                blobs.append((n, votes))
+        if blobs:
+            yield from told(now, blobs)
+
+    return run
+
+
+def _numbered(scratch: Scratch, nodes: DataFrame) -> tuple[DataFrame, int]:
+    """node and number, from 0 without gaps, and how many there are."""
+    placed = scratch.write(nodes.select("node", F.monotonically_increasing_id().alias("place")), "places")
+    sizes = sorted(placed.groupBy(F.shiftright("place", 33)).count().collect())
+    before = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    starts = scratch.spark.createDataFrame([(p, b) for (p, _), b in zip(sizes, before, strict=False)], "part long, before long")
+    number = F.col("place").bitwiseAND((1 << 33) - 1) + F.col("before")
+    return placed.join(F.broadcast(starts), F.shiftright("place", 33) == F.col("part")).select("node", number.alias("number")), before[-1]
+
+
 def _dealt(scratch: Scratch, described: DataFrame, most: int) -> DataFrame:
     """Postings under the key of their bucket or, where it has over ``most``, of each pair of its blocks that they are in."""
     posted = described.select("node", "corners").mapInArrow(_poster, POSTING)
@@ -382,10 +489,16 @@ def _linker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidate_pairs(scratch: Scratch, described: DataFrame, whole: int = WHOLE, next_: int = NEXT, cut: int = CUT) -> DataFrame:
     """a < b of images with three corners, each of its own, that meet as many levels apart and mostly at about one turn."""
-    met = _dealt(scratch, described, cut).repartition("key").sortWithinPartitions("key", "tail", "node").mapInArrow(trimmed(_meeter(whole, next_)), MET)
-    one = lambda n: F.bit_count(F.bit_or(n))
-    votes = met.groupBy("a", "b", "step").agg(one("ca").alias("na"), one("cb").alias("nb"), (F.hypot(F.sum("x"), F.sum("y")) / F.count(F.lit(1))).alias("agree"))
-    return scratch.write(votes.where("na >= 3 and nb >= 3 and agree >= 0.6").select("a", "b").distinct(), "candidates")
+    numbers, images = _numbered(scratch, described.select("node"))
+    numbers = scratch.write(numbers, "numbers")
+    scratch.drop("places")
+    parts = _parts(images)
+    dealt = _dealt(scratch, described.join(numbers, "node").select(F.col("number").alias("node"), "corners"), cut)
+    met = dealt.repartition("key").sortWithinPartitions("key", "tail", "node").mapInArrow(trimmed(_packer(_meeter(whole, next_), images, parts)), PACKED)
+    pairs = met.repartition("part").sortWithinPartitions("part").mapInArrow(trimmed(_teller(images, parts)), "a long, b long")
+    node = lambda s: numbers.select(F.col("number").alias(s), F.col("node").alias(f"node_{s}"))
+    pairs = pairs.join(node("a"), "a").join(node("b"), "b")
+    return scratch.write(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")), "candidates")
 
 
 def image_copies(spark: SparkSession, images: DataFrame, whole: int = WHOLE, next_: int = NEXT) -> DataFrame:
