@@ -26,8 +26,13 @@ def pair_outcomes(truth: DataFrame, predicted: DataFrame, keys: list[str]) -> Da
     """Adds outcome to labelled pairs (keys, i, j, label): unknown, missing, or tp, fp, fn, tn by the prediction (keys, i, j, similar)."""
     ordered = lambda df, *more: df.select(*keys, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), *more)
     x = ordered(truth, "label").join(ordered(predicted, "similar"), [*keys, "i", "j"], "left")
-    hit = F.when(c("label") == "similar", F.when(c("similar"), "tp").otherwise("fn")).otherwise(F.when(c("similar"), "fp").otherwise("tn"))
-    return x.withColumn("outcome", F.when(c("label") == "unknown", "unknown").when(c("similar").isNull(), "missing").otherwise(hit))
+    return x.withColumn("outcome", outcome(c("label"), c("similar")))
+
+
+def outcome(label: Column, similar: Column) -> Column:
+    """unknown, missing (nothing predicted), or tp, fp, fn, tn."""
+    hit = F.when(label == "similar", F.when(similar, "tp").otherwise("fn")).otherwise(F.when(similar, "fp").otherwise("tn"))
+    return F.when(label == "unknown", "unknown").when(similar.isNull(), "missing").otherwise(hit)
 
 
 def _rates(df: DataFrame) -> DataFrame:
@@ -36,10 +41,11 @@ def _rates(df: DataFrame) -> DataFrame:
     return x.withColumns({"f1": ratio(2.0 * c("precision") * c("recall"), c("precision") + c("recall")), "coverage": ratio(known, known + c("missing"))})
 
 
-def pair_metrics(outcomes: DataFrame, *by: str) -> DataFrame:
-    """by, pairs, tp, fp, tn, fn, unknown, missing, precision, recall, f1, coverage; a rate without anything to divide by is null."""
-    count = [F.count_if(c("outcome") == k).alias(k) for k in ("tp", "fp", "tn", "fn", "unknown", "missing")]
-    return _rates(outcomes.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), *count))
+def pair_metrics(outcomes: DataFrame, *by: str, n: Column | None = None) -> DataFrame:
+    """by, pairs, tp, fp, tn, fn, unknown, missing, precision, recall, f1, coverage; a rate without anything to divide by is null. A row stands for ``n`` pairs."""
+    n = F.lit(1) if n is None else n
+    count = [F.sum(F.when(c("outcome") == k, n).otherwise(0)).alias(k) for k in ("tp", "fp", "tn", "fn", "unknown", "missing")]
+    return _rates(outcomes.groupBy(*by).agg(F.sum(n).alias("pairs"), *count))
 
 
 def preference_metrics(preferences: DataFrame, groups: DataFrame, *by: str) -> DataFrame:
