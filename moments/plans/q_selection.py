@@ -30,10 +30,10 @@ _LEADERS = _LEADERS.split("select set_id, u.idx")[0] + "select set_id, u.idx, ro
 @query("g03_leader_clusters", _LEADERS)
 def leaders(spark, d):
     from moments.functions import scalars as S
-    from moments.operators import greedy
+    from moments.operators import blocks
 
     p = T.photos(spark, d).withColumn("quality", S.similarity_quality(c("sharp"), c("px")))
-    return greedy.leader_clusters(p, PH.vector_pairs(T.photos(spark, d), "set_id", 0.85), "set_id", 0.85).select("set_id", "idx", r6("quality").alias("quality"))
+    return blocks.leaders(p, "set_id", 0.85).select("set_id", "idx", r6("quality").alias("quality"))
 
 
 # ---- diverse photos --------------------------------------------------------------------------------------------------
