@@ -49,7 +49,7 @@ y as (select n.set_id, n.idx, x.score, x.rank, n.g, n.m, row_number() over (part
 
 
 def _diverse(spark, d):
-    return PH.diverse(bad_photos(spark, d), PH.vector_pairs(T.photos(spark, d), "set_id", 0.9), "set_id", 0.9, 12)
+    return PH.diverse(bad_photos(spark, d), None, "set_id", 0.9, 12, T.photos(spark, d))
 
 
 @query(
