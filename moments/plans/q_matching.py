@@ -241,7 +241,7 @@ def pair_metrics(spark, d):
 @query("g13_similar_pairs", f"select set_id, idx i, idx + 10 j, coalesce((select d <= 0.95 from {PAIRS_SQL} p where p.set_id = x.set_id and p.i = x.idx and p.j = x.idx + 10), false) \"similar\" from {PHOTOS} x")
 def similar(spark, d):
     q = T.photos(spark, d).select("set_id", (c("idx") + 10).alias("i"), c("idx").alias("j"))
-    dist = pairs(spark, d).withColumn("o", F.lit(1))
+    dist = PH.asked_distances(T.photos(spark, d), "set_id", q).withColumn("o", F.lit(1))
     return PH.similar_pairs(q, dist, "set_id", 0.95, "o").select("set_id", c("j").alias("i"), c("i").alias("j"), "similar")
 
 
