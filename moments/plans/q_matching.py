@@ -245,9 +245,19 @@ def similar(spark, d):
     return PH.similar_pairs(q, dist, "set_id", 0.95, "o").select("set_id", c("j").alias("i"), c("i").alias("j"), "similar")
 
 
+def _farthest(i: np.ndarray, j: np.ndarray, d: np.ndarray):
+    """The records j % 40, i % 40 of the pairs of a block, of those of one name the largest distance."""
+    a, b = i % 40, j % 40
+    p, q = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    (names, at), (others, to) = np.unique(a[p], return_index=True), np.unique(b[q], return_index=True)
+    most = np.fmax.reduceat(np.fmax.reduceat(d[p], at, axis=0)[:, q], to, axis=1)
+    some = ~np.isnan(most)
+    yield np.broadcast_to(others, most.shape)[some], np.broadcast_to(names[:, None], most.shape)[some], most[some]
+
+
 @query("j02_canonical_pairs", f"select set_id, i, j, round(max(d), 6) d from (select set_id, least(i % 40, j % 40) i, greatest(i % 40, j % 40) j, d from {PAIRS_SQL}) where i <> j and i % 3 <> 0 and j % 3 <> 0 group by all")
 def canonical(spark, d):
-    x = pairs(spark, d).select("set_id", (c("j") % 40).alias("i"), (c("i") % 40).alias("j"), "d")
+    x = blocks.pair_blocks(T.photos(spark, d), "set_id", _farthest, "i long, j long, d double")
     known = T.photos(spark, d).select("set_id", (c("idx") % 40).alias("idx")).where("idx % 3 <> 0")
     everywhere = known.select("idx").distinct().join(F.broadcast(known.select("set_id").distinct()), how="cross")  # ten sets of forty
     return greedy.canonical_pairs(x, "set_id", everywhere).select("set_id", "i", "j", r6("d").alias("d"))
