@@ -34,13 +34,16 @@ def strict_json(spark, d):
 
 @query("s02_protocol_photos", f"select set_id, idx, round(sharp, 6) sharp, round(expo, 6) expo, px, round(aes, 6) aes from (select *, {PHOTO_REASON_SQL} reason from {PHOTOS}) where reason is null")
 def protocol_photos(spark, d):
-    p = PH.checked(T.photos(spark, d), "set_id").where("reason is null")
+    # a document has 2,000 candidates at most, so a set is as many documents as it takes
+    n = F.row_number().over(Window.partitionBy("set_id").orderBy("idx")) - 1
+    doc = F.struct("set_id", F.floor(c("n") / D.MOST["I"]).alias("part"))
+    p = PH.checked(T.photos(spark, d), "set_id").where("reason is null").withColumn("n", n).withColumn("doc", doc)
     show = lambda n: F.coalesce(r6(n).cast("string"), F.lit(""))
     line = F.concat_ws("\t", F.lit("I"), c("idx").cast("string"), show("sharp"), show("expo"), c("px").cast("string"), show("aes"))
-    o = F.row_number().over(Window.partitionBy("set_id").orderBy("idx"))
-    lines = p.select("set_id", o.alias("ord"), line.alias("line")).unionByName(p.select("set_id").distinct().withColumns({"ord": F.lit(0), "line": F.lit("PHOTO\t5\t0.4")}))
-    photos, _ = D.protocol_photos(D.protocol(lines, "set_id"), "set_id")
-    return photos.select("set_id", "idx", r6("sharp").alias("sharp"), r6("expo").alias("expo"), "px", r6("aes").alias("aes"))
+    o = c("n") % D.MOST["I"] + 1
+    lines = p.select("doc", o.alias("ord"), line.alias("line")).unionByName(p.select("doc").distinct().withColumns({"ord": F.lit(0), "line": F.lit("PHOTO\t5\t0.4")}))
+    photos, _ = D.protocol_photos(D.protocol(lines))
+    return photos.select(c("doc")["set_id"].alias("set_id"), "idx", r6("sharp").alias("sharp"), r6("expo").alias("expo"), "px", r6("aes").alias("aes"))
 
 
 @query("s05_pose_scan", f"select src, id, row_number() over (partition by src order by t, id) - 1 ordinal from {POSE}")
