@@ -33,15 +33,19 @@ def _line(mode: str, parts: list[tuple[str, Column]]) -> Column:
 
 
 def photo_line(diverse: DataFrame, key: str) -> DataFrame:
-    """key, line: what ``photos.diverse`` chose, as one line of JSON a set."""
+    """key, line: what ``photos.diverse`` chose, as one line of JSON a set. Groups are put together first, so that a line takes time as its length."""
     ok, x = c("reason").isNull(), diverse.withColumn("score", finite(c("score")))
-    group = F.collect_list(F.when(ok, F.struct("grp", "member", "idx")))
+    members = F.array_sort(F.collect_list(F.struct("member", "idx")))
+    group = x.where(ok).groupBy(key, "grp").agg(members.alias("m")).withColumn("first", F.filter("m", lambda m: m["member"] == 1)[0]["idx"])
+    group = group.select(key, F.struct("grp", F.struct(c("first").alias("representativeIndex"), F.transform("m", lambda m: m["idx"]).alias("memberIndices")).alias("g")).alias("x"))
+    group = group.groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("groups"))
     g = x.groupBy(key).agg(
         _numbers(c("idx"), c("selected")).alias("sel"), _numbers(c("rank"), ok).alias("ranked"), _numbers(c("position"), ok).alias("order"), _keyed(ok, c("score"), False).alias("scores"),
-        F.array_sort(group).alias("members"), _keyed(c("selected"), c("role"), True).alias("roles"), _keyed(~ok, c("reason"), True).alias("reasons"),
+        _keyed(c("selected"), c("role"), True).alias("roles"), _keyed(~ok, c("reason"), True).alias("reasons"),
     )
-    numbers = F.array_distinct(F.transform("members", lambda m: m["grp"]))
-    groups = F.transform(numbers, lambda n: F.struct(F.filter("members", lambda m: (m["grp"] == n) & (m["member"] == 1))[0]["idx"].alias("representativeIndex"), F.transform(F.filter("members", lambda m: m["grp"] == n), lambda m: m["idx"]).alias("memberIndices")))
+    g = g.join(group, key, "left")
+    none = F.array().cast(group.schema["groups"].dataType)
+    groups = F.transform(F.coalesce("groups", none), lambda x: x["g"])
     parts = [("selectedIndices", F.to_json("sel")), ("qualityRankedIndices", F.to_json("ranked")), ("selectionOrderIndices", F.to_json("order")), ("scoreByIndex", c("scores")), ("groups", F.to_json(groups)), ("selectionRoleByIndex", c("roles")), ("rejectionReasonsByIndex", c("reasons"))]
     return g.select(key, _line("PHOTO", parts).alias("line"))
 
