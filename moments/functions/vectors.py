@@ -19,6 +19,11 @@ def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x.cast("double"))
 
 
+def some_total(xs: Column) -> Column:
+    """The sum, null without any numbers."""
+    return F.when(F.size(xs) > 0, total(xs))
+
+
 def perceptual_distance(tiles_a: Column, hist_a: Column, tiles_b: Column, hist_b: Column) -> Column:
     """0.6 of the mean difference of tiles and 0.4 of half the difference of histograms, within 0 and 1."""
     apart = total(F.zip_with(hist_a, hist_b, lambda x, y: F.abs(x.cast("double") - y.cast("double")))) / 2

@@ -143,7 +143,7 @@ def tracked(spark, d):
 def schedules(spark, d):
     v = c("value")
     x = T.events(spark, d).select("id", W.coarse_times(v, 5.0, 12).alias("c"), W.frame_times(v, 5).alias("f"), W.window_times(v, F.lit(30.0)).alias("m"))
-    return x.select("id", F.size("c").cast("long").alias("coarse"), F.round(V.total(c("c")), 3).alias("coarse_sum"), r6(V.total(c("f"))).alias("frames"), r6(V.total(c("m"))).alias("middles"))
+    return x.select("id", F.size("c").cast("long").alias("coarse"), F.round(V.some_total(c("c")), 3).alias("coarse_sum"), r6(V.total(c("f"))).alias("frames"), r6(V.total(c("m"))).alias("middles"))
 
 
 @query("w08_contrast_maxima", f"select id from (select *, lag(value) over w b, lead(value) over w a from {E} window w as (partition by src order by t, id)) where value >= b and value >= a and value >= 20 and value - least(a, b) >= 15")
@@ -260,7 +260,7 @@ def fallback(spark, d):
 def cut_lists(spark, d):
     t = F.when(c("id") % 9 == 0, float("nan")).otherwise(F.rint("t"))
     x = T.events(spark, d).groupBy("src").agg(F.collect_list(t).alias("x")).select("src", ranges.cut_list(c("x"), F.lit(60.0)).alias("x"))
-    return x.select("src", F.size("x").cast("long").alias("n"), r6(V.total(F.transform("x", lambda v, i: v * (i + 1)))).alias("w"))
+    return x.select("src", F.size("x").cast("long").alias("n"), r6(V.some_total(F.transform("x", lambda v, i: v * (i + 1)))).alias("w"))
 
 
 @query("w12_evenly_spaced", f"select id from (select id, row_number() over (order by id) - 1 r, count(*) over () n from {_LIST}) where r in (select (i * (n - 1)) // 39 from range(40) x(i), (select count(*) n from {_LIST}))")
