@@ -17,8 +17,8 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def per_index(df: DataFrame, key: str, array: str) -> DataFrame:
-    """key, k (from 0), mean, high, low of the numbers at each place of the arrays; nulls don't count."""
-    x = df.select(key, F.posexplode(array).alias("k", "v"))
+    """key, k (from 0), mean, high, low of the numbers at each place of the arrays; nulls don't count, and places with nothing else drop out."""
+    x = df.select(key, F.posexplode(array).alias("k", "v")).where("v is not null")
     return x.groupBy(key, "k").agg(F.avg("v").alias("mean"), F.max("v").alias("high"), F.min("v").alias("low"))
 
 
