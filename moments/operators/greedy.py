@@ -45,14 +45,16 @@ def refractory(df: DataFrame, key: str, gap: float) -> DataFrame:
 def evenly(df: DataFrame, limit: int, *order: Column) -> DataFrame:
     """Of the ordered rows those at positions i * (n - 1) // (limit - 1); all if there are no more than limit.
 
-    The order is over all rows, so it is meant for what is left of a reference set after spacing.
+    The order is over all rows, of which the first column must be a number in rising order.
     """
+    from moments.operators.ranking import numbered
+
     n = df.count()
     if n <= limit or limit <= 0:
         return df if limit > 0 else df.limit(0)
     wanted = sorted({0 if limit == 1 else i * (n - 1) // (limit - 1) for i in range(limit)})
-    ranked = df.withColumn("_r", F.row_number().over(Window.orderBy(*order)) - 1)
-    return ranked.join(F.broadcast(df.sparkSession.createDataFrame([(w,) for w in wanted], "_r int")), "_r").drop("_r")
+    ranked = numbered(df, "_r", *order).withColumn("_r", F.col("_r") - 1)
+    return ranked.join(F.broadcast(df.sparkSession.createDataFrame([(w,) for w in wanted], "_r long")), "_r").drop("_r")
 
 
 def anchored_merge(df: DataFrame, key: str, gap: float, loudest: bool) -> DataFrame:

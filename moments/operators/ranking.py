@@ -10,6 +10,29 @@ def add_rank(df: DataFrame, name: str, by: list[str], *order: Column) -> DataFra
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
+#: Parts that one long list is numbered in.
+PARTS = 64
+
+
+def numbered(df: DataFrame, name: str, lead: Column, *rest: Column, by: tuple[str, ...] = (), part: Column | None = None) -> DataFrame:
+    """Adds the number, from 1, of each row in the list of ``by`` (or of all rows) in order of lead, a number with nulls last, and rest.
+
+    No task sorts a whole list: each is numbered in parts, and a row's number is that in its part plus the sizes of the parts
+    before. ``part`` never falls as lead rises; without it parts lie between quantiles of lead, which are looked up at once.
+    """
+    x = df.withColumn("_l", lead.cast("double"))
+    if part is None:
+        cuts = sorted(set(x.approxQuantile("_l", [k / PARTS for k in range(1, PARTS)], 0.002)))
+        # null comes last, as it does in the order
+        part = F.when(F.col("_l").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(F.lit(cuts), lambda q: q < F.col("_l"))) if cuts else F.lit(0))
+    x = x.withColumn("_q", part)
+    sizes = x.groupBy(*by, "_q").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_q").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(*by, "_q", F.coalesce(before, F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_q").orderBy(F.col("_l").asc_nulls_last(), *rest))
+    return x.withColumn("_i", inside).join(F.broadcast(sizes), [*by, "_q"]).withColumn(name, F.col("_o") + F.col("_i")).drop("_l", "_q", "_i", "_o")
+
+
 def fuse_ranks(df: DataFrame, group: str, alpha: float, k: int = 60, head: int = 0) -> DataFrame:
     """group, id, expert, semantic -> fused position. A group with a missing semantic score falls back to the expert's rank; the first ``head`` stay."""
     w = Window.partitionBy(group)

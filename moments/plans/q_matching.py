@@ -97,10 +97,9 @@ def _both(spark, d):
     e = T.events(spark, d)
     k = F.rint(c("t") * 1000).cast("long").alias("k")
     lists = []
-    for m, order in ((3, [F.desc("value"), c("id")]), (4, [(c("id") * 7919) % 10007, c("id")])):
+    for m, lead in ((3, -c("value")), (4, (c("id") * 7919) % 10007)):
         x = e.where(c("id") % m != 0).select("src", k, "value", "id")
-        # a ranking is a review list: it has one order, and so one window
-        lists.append(x.withColumn("r", F.row_number().over(Window.orderBy(*order)) - 1).groupBy("src", "k").agg(F.max("r").alias("r")))
+        lists.append(ranking.numbered(x, "r", lead, c("id")).groupBy("src", "k").agg((F.max("r") - 1).alias("r")))
     a, b = lists
     return a.withColumnRenamed("r", "ra").join(b.withColumnRenamed("r", "rb"), ["src", "k"])
 

@@ -228,3 +228,25 @@ def test_blocked_logistic_takes_any_number_of_rows(spark):
     rows = spark.range(12_000).select("id", F.concat(F.lit("g"), (i % 3).cast("string")).alias("grp"), (i * 31 % 97 > 60).alias("positive"), (i % 977 / 977.0).alias("expert"), (i * 31 % 97 / 97.0).alias("motion"))
     got = K.blocked_logistic(rows, [["expert", "motion"]], [0.1], [0, 5]).collect()
     assert sorted(r.head for r in got) == [0, 5] and all(r.converged and r.ap > 0.9 for r in got)
+
+
+def test_numbers_of_a_long_list_equal_one_sort(spark):
+    from pyspark.sql import Window
+
+    from moments.operators import ranking
+
+    i = F.col("id")
+    x = spark.range(5000).select("id", (i % 3).alias("g"), F.when(i % 11 != 0, i * 7919 % 401 / 7.0).alias("v")).repartition(4)
+    v = F.col("v")
+    for by, part in (((), None), (("g",), None), (("g",), F.floor(F.coalesce(v, F.lit(1e6)) / 9))):
+        want = F.row_number().over(Window.partitionBy(*by).orderBy(v.asc_nulls_last(), "id"))
+        assert ranking.numbered(x, "n", v, i, by=by, part=part).withColumn("w", want).where("n <> w or n is null").count() == 0
+    assert ranking.numbered(x.where("id < 0"), "n", v, i).count() == 0
+
+
+def test_metrics_go_over_the_stretches_of_a_ranking(spark, monkeypatch):
+    rows = [(1, p, p % 3 == 0 or p > 40) for p in range(1, 51)] + [(2, p, p == 7) for p in range(1, 20)]
+    x = spark.createDataFrame(rows, "g int, position int, positive boolean")
+    whole = sorted(tuple(r) for r in K.list_metrics(x, ["g"]).collect())
+    monkeypatch.setattr(K, "STRETCH", 6)
+    assert whole == [pytest.approx(tuple(r)) for r in sorted(K.list_metrics(x, ["g"]).collect())] and whole[1][2] == pytest.approx(1 / 7)
