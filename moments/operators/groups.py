@@ -12,11 +12,17 @@ from pyspark.sql.types import _parse_datatype_string
 OUT_ROWS = 5000
 
 
-def by_group(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+def many(df: DataFrame) -> int:
+    """Tasks for a sort of the widest rows, so that each holds little of them whatever the session's number is."""
+    return 16 * df.sparkSession.sparkContext.defaultParallelism
+
+
+def by_group(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[list[tuple]], list[tuple]], schema: str, parts: int | None = None) -> DataFrame:
     """The rows that fn gives for each group's rows.
 
     fn gets a group's rows as tuples of df's columns, sorted by ``order``, and gives tuples of the schema. A group is held
-    whole, so it has to be bounded by what it means: a stretch of a recording, one selection.
+    whole, so it has to be bounded by what it means: a stretch of a recording, one selection. ``parts`` is the number of tasks,
+    where the session's would sort too many rows each.
     """
     at = [df.columns.index(k) for k in keys]
     out = to_arrow_schema(_parse_datatype_string(schema))
@@ -44,7 +50,7 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[lis
         if made:
             yield batch(made)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return df.repartition(*([parts] if parts else []), *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def kind(df: DataFrame, name: str) -> str:

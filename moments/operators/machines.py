@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moments.operators.groups import by_group, kind
+from moments.operators.groups import by_group, kind, many
 
 c = F.col
 NEVER = -math.inf
@@ -544,12 +544,12 @@ TRIGGER_OUT = "kind string, id long, t double, confidence double"
 def triggers(rows: DataFrame, source: str) -> DataFrame:
     """source, kind (swing or putt), id of the row that fired, t, confidence of ``trigger_rows``; a source is one series, as its levels never end."""
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
+    def run(some: list[tuple]) -> list[tuple]:
         machine, out = Trigger(), []
-        for k, t, i, kind, a in df.sort_values(["t", "ord", "id"])[["k", "t", "id", "kind", "a"]].itertuples(index=False):
-            if fired := machine.step(kind, t, [float(v) for v in a]):
+        for k, t, _, i, kind_, a in some:
+            if fired := machine.step(kind_, t, a):
                 out.append((k, fired[0], i, t, fired[1]))
-        return pd.DataFrame(out, columns=["k", "kind", "id", "t", "confidence"])
+        return out
 
-    x = rows.withColumnRenamed(source, "k")
-    return x.groupBy("k").applyInPandas(run, f"k {x.schema['k'].dataType.simpleString()}, {TRIGGER_OUT}").withColumnRenamed("k", source)
+    x = rows.select(source, "t", "ord", "id", "kind", "a")
+    return by_group(x, [source], ["t", "ord", "id"], run, f"{source} {kind(x, source)}, {TRIGGER_OUT}", many(x))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from moments.operators.groups import many
+
 
 def band_join(left: DataFrame, right: DataFrame, key: str, reach: float, how: str = "inner", condition=None) -> DataFrame:
     """left (key, t, ...) with right (key, u, ...) where |t - u| <= reach: each right row goes into three buckets, each left row into one."""
@@ -31,10 +33,13 @@ def contained(points: DataFrame, intervals: DataFrame, key: str, width: float, h
 
 
 def _beside(left: DataFrame, right: DataFrame, key: str, names: list[str], at: Column, left_first: bool) -> tuple[DataFrame, Column]:
-    """The union of both sides, right rows wrapped into _r, and the order in which left rows come before or after right rows of the same _at."""
+    """The union of both sides, right rows wrapped into _r, and the order in which left rows come before or after right rows of the same _at.
+
+    It is in so many parts that a task sorts few rows, as both sides stand in it whole.
+    """
     l = left.withColumn("_at", at)  # noqa: E741
     r = right.select(key, F.col("u").alias("_at"), F.struct("u", *[n for n in names if n != "u"]).alias("_r"))
-    return l.unionByName(r, allowMissingColumns=True), (F.col("_r").isNotNull() if left_first else F.col("_r").isNull())
+    return l.unionByName(r, allowMissingColumns=True).repartition(many(l), key), (F.col("_r").isNotNull() if left_first else F.col("_r").isNull())
 
 
 def forward_asof(left: DataFrame, right: DataFrame, key: str, lead: float = 0.0, inclusive: bool = False, values: list[str] | None = None) -> DataFrame:

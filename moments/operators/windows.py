@@ -131,9 +131,9 @@ OFFSETS = (-0.9, -0.7, -0.5, -0.3, -0.1, 0.1, 0.3, 0.5, 0.7, 0.9)
 def phase_scores(centers: DataFrame, samples: DataFrame, key: str) -> DataFrame:
     """key, id, score of centers (key, t, id): how the hand, seen from the body at ten fixed offsets, leaves its rest and comes back to it."""
     x = centers.select(key, "id", F.posexplode(F.array(*[c("t") + F.lit(o) for o in OFFSETS])).alias("k", "t"))
-    near = nearest(x, samples.select(key, c("t").alias("u"), "hand_x", "core_x", "scale"), key, ["hand_x", "core_x", "scale"]).where("near_u is not null")
-    value = (c("near_hand_x") - c("near_core_x")) / F.greatest(c("near_scale"), F.lit(0.04))
-    v = near.groupBy(key, "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", value.alias("v")))), lambda s: s["v"]).alias("v"))
+    value = (c("hand_x") - c("core_x")) / F.greatest(c("scale"), F.lit(0.04))
+    near = nearest(x, samples.select(key, c("t").alias("u"), value.alias("v")), key, ["v"]).where("near_u is not null")
+    v = near.groupBy(key, "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", c("near_v").alias("v")))), lambda s: s["v"]).alias("v"))
     at = lambda k: c("v")[k]
     rest = ((at(0) + at(1) + at(2)) / 3 + (at(7) + at(8) + at(9)) / 3) / 2.0
     moved = F.abs(at(1) - at(0)) + F.abs(at(2) - at(1)) + (F.abs(at(8) - at(7)) + F.abs(at(9) - at(8)))

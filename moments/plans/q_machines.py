@@ -251,13 +251,14 @@ def _shared(spark) -> str:
 
 
 def _slices(spark, rows, name: str):
-    """The rows as a stream of three files, in order of time."""
+    """The rows as a stream of three slices, in order of time. A slice is many files, a source in one of them."""
     import uuid
 
+    files = 2 * spark.sparkContext.defaultParallelism
     path = f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     for lo, hi in ((0, 20), (20, 45), (45, 1 << 40)):
-        rows.where((c("k") >= lo) & (c("k") < hi)).drop("k").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.drop("k").schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.where((c("k") >= lo) & (c("k") < hi)).drop("k").repartition(files, "src").write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.drop("k").schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query("p01_motion_stream", _P01)

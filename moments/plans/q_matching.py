@@ -85,7 +85,7 @@ and not (a.set_id = b.set_id and (abs(a.idx - b.idx) <= 6 or least(3, floor(a.id
 def margins(spark, d):
     p = T.photos(spark, d).select("set_id", c("idx").alias("id"), c("idx").cast("double").alias("t"), c("e").cast("array<double>").alias("v"))
     refs = p.where("id % 10 = 0").withColumn("positive", c("id") % 20 == 0)
-    x = matching.reference_margins(p, refs, "set_id", lambda v, m: np.abs(m - v).mean(1), 3, blocks=4, quarantine=5.0, duration=500.0)
+    x = matching.reference_margins(p, refs, "set_id", matching.mean_apart, 3, blocks=4, quarantine=5.0, duration=500.0)
     return x.select("id", *[r6(n).alias(n) for n in ("positive", "negative", "margin")])
 
 
