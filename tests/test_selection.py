@@ -250,3 +250,42 @@ def test_metrics_go_over_the_stretches_of_a_ranking(spark, monkeypatch):
     whole = sorted(tuple(r) for r in K.list_metrics(x, ["g"]).collect())
     monkeypatch.setattr(K, "STRETCH", 6)
     assert whole == [pytest.approx(tuple(r)) for r in sorted(K.list_metrics(x, ["g"]).collect())] and whole[1][2] == pytest.approx(1 / 7)
+
+
+def test_margins_take_any_number_of_references(spark):
+    rng = np.random.default_rng(2)
+    v = rng.random((20_500, 2)).round(3)
+    refs = spark.createDataFrame([(k % 5, float(k), k % 3 == 0, v[k].tolist()) for k in range(len(v))], "s int, t double, positive boolean, v array<double>")
+    rows = [(s, k, float(40 * k), [0.1 * k, 0.3]) for k in range(40) for s in (k % 5, 9)]
+    got = matching.reference_margins(spark.createDataFrame(rows, "s int, id long, t double, v array<double>"), refs, "s", matching.mean_apart, 3, blocks=4, quarantine=5.0, duration=20_500.0)
+    want = {}
+    at = lambda t: min(3, int(t // 5125))
+    by_edge = lambda t: abs(t - at(t) * 5125) <= 5 or abs((at(t) + 1) * 5125 - t) <= 5
+    for s, i, t, x in rows:
+        d = np.abs(v - x).mean(1)
+        gone = np.array([k % 5 == s and (abs(k - t) <= 6 or at(k) == at(t) or (abs(at(k) - at(t)) == 1 and (by_edge(k) or by_edge(t)))) for k in range(len(v))])
+        want[s, i] = [np.sort(d[~gone & ((np.arange(len(v)) % 3 == 0) == kind)])[:3].mean() for kind in (True, False)]
+    found = {(r.s, r.id): [r.positive, r.negative] for r in got.collect()}
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_as_of_joins_and_triggers_sort_in_many_parts(spark):
+    from moments.operators import machines as M
+    from moments.operators.groups import many
+
+    x = spark.range(1000).select((F.col("id") % 50).alias("k"), F.col("id").cast("double").alias("t"))
+    assert ranges.nearest(x, x.withColumnRenamed("t", "u"), "k").rdd.getNumPartitions() == many(x)
+    rows = x.select(F.col("k").alias("src"), "t", F.lit(0).alias("ord"), F.lit("frame").alias("kind"), F.col("t").cast("long").alias("id"), F.array(*[F.lit(0.0)] * 6).alias("a"))
+    assert M.triggers(rows, "src").rdd.getNumPartitions() == many(x)
+
+
+def test_a_slice_of_a_stream_is_many_files_with_a_source_in_one(spark, tmp_path, monkeypatch):
+    from moments.plans import q_machines as Q
+
+    monkeypatch.setattr(Q, "_shared", lambda spark: str(tmp_path))
+    x = spark.range(5000).select((F.col("id") % 100).alias("src"), F.floor(F.col("id") / 100).alias("k"), "id")
+    Q._slices(spark, x, "slices")
+    slice_ = F.when(F.col("id") < 2000, 0).when(F.col("id") < 4500, 1).otherwise(2)
+    rows = spark.read.parquet(f"{tmp_path}/slices-*").withColumns({"file": F.input_file_name(), "slice": slice_})
+    assert rows.count() == 5000 and rows.groupBy("slice", "src").agg(F.count_distinct("file").alias("n")).where("n > 1").count() == 0
+    assert rows.groupBy("slice").agg(F.count_distinct("file").alias("n")).where("n > 1").count() == 3
